@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .minhash import minhash_near_duplicates
 from .packing import pack_documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -18,5 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
