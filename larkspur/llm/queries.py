@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpetree import decode_ids, encode_texts
-from .common import table
+from .chat import FORMAT_CHATS_SQL, format_chats
+from .common import crc32_mod, table
+from .langid import identify, train_dictionaries
 from .minhash import minhash_near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .tokencount import token_counts
+from .warc import round_trip
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -41,5 +44,25 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), RANKS, PATTERN, fields=("text",), lines=True, rule="start")
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_quality_rules": op4_quality_rules, "op5_bpe_codec": op5_bpe_codec, "op6_token_counts": op6_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = round_trip(table(spark, sf_dir, "pages"), min_revisit=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc32_mod("doc_id", 4) == 2
+    model = train_dictionaries(docs.where(~held_out))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "language.*").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_quality_rules": op4_quality_rules, "op5_bpe_codec": op5_bpe_codec, "op6_token_counts": op6_token_counts,
+    "op7_warc_bundles": op7_warc_bundles, "op8_language_id": op8_language_id, "op10_chat_format": op10_chat_format,
+}
+ORACLE_SQL: dict[str, str] = {"op10_chat_format": FORMAT_CHATS_SQL}
