@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpetree import decode_ids, encode_texts
 from .chat import FORMAT_CHATS_SQL, format_chats
 from .common import crc32_mod, table
+from .hmm import hmm_scores
 from .langid import identify, train_dictionaries
 from .minhash import minhash_near_duplicates
 from .packing import pack_documents
@@ -57,12 +58,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "language.*").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op9_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc32_mod("doc_id", 10) == 0
+    found = hmm_scores(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_quality_rules": op4_quality_rules, "op5_bpe_codec": op5_bpe_codec, "op6_token_counts": op6_token_counts,
-    "op7_warc_bundles": op7_warc_bundles, "op8_language_id": op8_language_id, "op10_chat_format": op10_chat_format,
+    "op7_warc_bundles": op7_warc_bundles, "op8_language_id": op8_language_id, "op9_hmm_scoring": op9_hmm_scoring, "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {"op10_chat_format": FORMAT_CHATS_SQL}
