@@ -15,6 +15,7 @@ from .minhash import minhash_near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .tokencount import token_counts
+from .vectors import vector_near_duplicates
 from .warc import round_trip
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +32,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95).rows
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,7 +74,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op4_quality_rules": op4_quality_rules, "op5_bpe_codec": op5_bpe_codec, "op6_token_counts": op6_token_counts,
+    "op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_quality_rules": op4_quality_rules, "op5_bpe_codec": op5_bpe_codec, "op6_token_counts": op6_token_counts,
     "op7_warc_bundles": op7_warc_bundles, "op8_language_id": op8_language_id, "op9_hmm_scoring": op9_hmm_scoring, "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {"op10_chat_format": FORMAT_CHATS_SQL}
