@@ -147,4 +147,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ru
     d = scratch.table(measured(docs.select("doc_id", "text", stratum)).drop("text"), "measures")
     fitted = fit_cutoffs(d, labels, stratum, rules, risk, delta, scratch)
     own = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", stratum)
-    return judged(measured(own), fitted, stratum, rules).where("kept").select("_row.*")
+    done = judged(measured(own), fitted, stratum, rules)
+    # a filter here would be pushed below the measures and take copies of their expressions with it
+    return done.select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row")).where("_row is not null").select("_row.*")
