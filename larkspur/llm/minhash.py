@@ -4,8 +4,10 @@
    universal hash minima. Equal sets form a class; only its least document goes on.
 2. Bands of the signature make buckets. In a bucket all members are paired with its least one only.
 3. Pairs that sizes and signatures don't rule out are checked on full sets. Links give components.
-4. Buckets that still hold more than one component are compared in blocks, across components only, so that
-   every candidate pair is either checked or known to be connected. Then components are made again.
+4. Buckets that still hold more than one component are compared in blocks, across components only. Components
+   that a plausible pair connects meet in a cell, whose members are compared on full sets, so that every
+   candidate pair is either checked or known to be connected. Then components are made again. Tasks pass on
+   spanning forests, never all pairs.
 
 With rows r and bands b, a pair at similarity s shares no bucket with probability (1 - s**r)**b: 3e-6 at 0.8
 with the defaults, less above. The signature check drops a pair at 0.8 that agrees in less than
@@ -15,19 +17,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, ship
 from .components import connected_components
-from .textkernel import hash_spans, mix, rows_of, texts, words
+from .textkernel import hash_spans, mix, ragged, rows_of, texts, words
 
 BANDS, ROWS = 24, 4
 #: Signature agreement may fall short of the threshold by so much.
 SLACK = 0.2
 #: Members of a bucket compared at once.
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 _rng = np.random.default_rng(77)
 _MUL = (_rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -82,6 +85,7 @@ SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType()),
     T.StructField("signature", T.ArrayType(T.IntegerType())),
 ])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
@@ -134,35 +138,100 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch:
     return links
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) within a bucket and across components. ``members``: bucket, id, component, n,
-    signature. A bucket of more than BLOCK members is compared block by block, each pair of blocks a group
-    of its own."""
-    import pandas as pd
+class Forest:
+    """Union-find over small numbers; ``tree`` is each member's root."""
 
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.join(sizes, "bucket").withColumn("mine", mine)
+    def __init__(self, labels: np.ndarray):
+        self.tree = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, x: int, y: int) -> None:
+        self.tree[self.tree == self.tree[y]] = self.tree[x]
+
+
+def _blocked(members: DataFrame, key: str, size: str) -> DataFrame:
+    """``members`` dealt into groups (key, i, j) that a task can hold: a key of more than BLOCK members, or
+    too large in all, is cut into blocks by hash, each pair of blocks a group of its own."""
+    sizes = members.groupBy(key).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "n", "signature")
-    least = percent / 100 - SLACK
-
-    def compare(key, g: pd.DataFrame) -> pd.DataFrame:
-        sig = np.array(g["signature"].tolist(), np.int32)
-        ids, comp, n, mine = (g[c].to_numpy() for c in ("id", "component", "n", "mine"))
-        found_a, found_b = [], []
-        for x in range(len(ids)):
-            ok = (comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
-            if key[1] != key[2]:
-                ok &= mine[x + 1 :] != mine[x]
-            y = np.flatnonzero(ok) + x + 1
-            y = y[(sig[y] == sig[x]).sum(1) >= least * sig.shape[1]]
-            found_a.append(np.full(len(y), ids[x]))
-            found_b.append(ids[y])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("other", "blocks")
+
+
+def _compare(t: pa.Table, percent: int, exact: bool) -> tuple[list[int], list[int], np.ndarray]:
+    """Places (x, y) of pairs that join two components of a group, directly or by earlier pairs not yet one:
+    a spanning forest, so at most one pair a member. Pairs are plausible by size and signature, and if
+    ``exact`` they are links by their full sets."""
+    comp, n, mine = (t[c].to_numpy() for c in ("component", "n", "mine"))
+    sig = np.asarray(t["signature"].combine_chunks().flatten()).reshape(len(t), -1)
+    least = (percent / 100 - SLACK) * sig.shape[1]
+    apart = len(np.unique(mine)) > 1
+    forest = Forest(comp)
+    if exact:
+        sets = t["shingles"].combine_chunks()
+        local = np.unique(np.asarray(sets.flatten()), return_inverse=True)[1]
+        size = np.asarray(pc.list_value_length(sets)).astype(np.int64)
+        first = np.cumsum(size) - size
+        flag = np.zeros(int(local.max(initial=0)) + 1, bool)
+    found_x, found_y = [], []
+    for x in range(len(t)):
+        ok = (forest.tree[x + 1 :] != forest.tree[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))
+        if apart:
+            ok &= mine[x + 1 :] != mine[x]
+        y = np.flatnonzero(ok) + x + 1
+        y = y[(sig[y] == sig[x]).sum(1) >= least]
+        if exact and len(y):
+            own = local[first[x] : first[x] + size[x]]
+            flag[own] = True
+            common = np.add.reduceat(flag[local[ragged(first[y], size[y])]].astype(np.int64), np.cumsum(size[y]) - size[y])
+            flag[own] = False
+            y = y[100 * common >= percent * (size[x] + size[y] - common)]
+        for k in y.tolist():
+            if forest.tree[k] != forest.tree[x]:
+                forest.join(x, k)
+                found_x.append(x)
+                found_y.append(k)
+    return found_x, found_y, comp
+
+
+def _plausible_components(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that some plausible pair in a bucket connects (enough of them)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, comp = _compare(t, percent, False)
+        return pa.table({"a": np.maximum(comp[x], comp[y]), "b": np.minimum(comp[x], comp[y])})
+
+    return _blocked(members, "bucket", "one").groupBy("bucket", "i", "j").applyInArrow(run, PAIRS).distinct()
+
+
+def _links_in_cells(cells: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a cell, enough to connect what any link connects."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, _ = _compare(t, percent, True)
+        ids = t["id"].to_numpy()
+        return pa.table({"a": ids[x], "b": ids[y]})
+
+    return _blocked(cells, "cell", "n").groupBy("cell", "i", "j").applyInArrow(run, PAIRS)
+
+
+def _rest(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links that pairing with heads missed. Buckets with several components tell which components some
+    plausible pair connects; such components meet in a cell, where all their members are compared by
+    signature and then by full sets. Rows between tasks stay in proportion to the members."""
+    placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    small = classes.select("id", "n", "signature")
+    left = placed.join(mixed, "bucket").join(small, "id").withColumn("one", F.lit(0))
+    near = scratch.table(_plausible_components(left, percent), "near")
+    if near.isEmpty():
+        return None
+    # a cell is known by its least component, which connected_components leaves out
+    cell = connected_components(near, scratch).select(F.col("id").alias("component"), F.col("component").alias("cell"))
+    cell = scratch.table(cell.unionAll(cell.select(F.col("cell").alias("component"), "cell")).distinct(), "cells")
+    inside = small.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(cell, "component")
+    inside = scratch.table(inside.select("cell", "id", "component", "n", "signature"), "inside")
+    sets = full_sets(docs.select("doc_id", "text").join(inside.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), k)
+    return scratch.table(_links_in_cells(inside.join(sets, "id"), percent), "links")
 
 
 def minhash_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -189,14 +258,8 @@ def minhash_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80
     pairs = scratch.table(_plausible(pairs, classes, percent), "pairs")
     links = _verified(pairs, docs, shingle, percent, scratch)
     found = connected_components(links, scratch)
-    # what is left: pairs in a bucket that aren't in one component yet
-    placed = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = placed.join(mixed, "bucket").join(classes.select("id", "n", "signature"), "id")
-    more = scratch.table(_across(left, percent), "pairs")
-    if not more.isEmpty():
-        links = links.unionAll(_verified(more, docs, shingle, percent, scratch))
-        found = connected_components(links, scratch)
+    if more := _rest(members, found, classes, docs, shingle, percent, scratch):
+        found = connected_components(links.unionAll(more), scratch)
     out = rows.drop("signature").join(classes.select(F.col("n").alias("n_shingles"), "f1", "f2", F.col("id").alias("class_id")), same_set, "left")
     out = out.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id", "doc_id")
