@@ -7,17 +7,19 @@ one outcome, whose mass is the share of training tokens seen once (Good and Turi
 
 Documents are cut into blocks, coded once (tokens as positions in the block's own vocabulary) and written;
 later passes read codes only. Word counts are summed by a shuffle, and each block gets back the counts of
-its own vocabulary by a second one: no vocabulary is broadcast or collected. A Baum-Welch pass sums expected
+its own vocabulary by a second one, packed: no vocabulary is broadcast or collected. A Baum-Welch pass sums expected
 counts in each task and then by class in a shuffle; the driver sees one row a class. Likelihoods are exact:
 scaled forward recursion over whole documents, many side by side."""
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,16 @@ BLOCKS = T.StructType([
 ])
 
 
+def pack(x: np.ndarray, width: int) -> bytes:
+    """Integers by their bytes' planes, compressed: high planes are nearly empty."""
+    return zstandard.compress(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 def coded(docs: DataFrame) -> DataFrame:
     """Blocks of ``docs`` (doc_id, text, train): lengths and tokens (positions in words), words (64-bit
     hashes), and their suffix classes and counts in training documents of this block."""
@@ -65,13 +77,18 @@ def coded(docs: DataFrame) -> DataFrame:
             inner[ends - 1] = False
             every[inner] = h
             types, first, tokens = np.unique(every, return_index=True, return_inverse=True)
+            # frequent words get small numbers, which compress well
+            rank = np.argsort(-np.bincount(tokens, minlength=len(types)), kind="stable")
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            types, first, tokens = types[rank], first[rank], place[tokens]
             tail = np.full(len(every), _END_SUFFIX, np.uint16)
             tail[inner] = suffix
             train = np.repeat(np.array(b.column(2).to_pylist(), bool), n)
             counts = np.bincount(tokens[train], minlength=len(types))
-            one = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
+            one = lambda x: pa.array([x], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | k]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([b.column(2).to_pylist()], pa.list_(pa.bool_())), one(n, "<i4"), one(tokens, "<i4"), one(types, "<u8"), one(tail[first], "<u2"), one(counts, "<i4")],
+                [pa.array([part << 32 | k]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([b.column(2).to_pylist()], pa.list_(pa.bool_())), one(pack(n, 4)), one(pack(tokens, 4)), one(types.tobytes()), one(tail[first].tobytes()), one(pack(counts, 4))],
                 names=BLOCKS.names,
             )
 
@@ -86,13 +103,45 @@ def vocabulary_rows(blocks: DataFrame) -> DataFrame:
             for block, w, s, n in zip(*(c.to_pylist() for c in b.columns)):
                 w = np.frombuffer(w, "<i8")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w), pa.array(np.frombuffer(s, "<u2").astype(np.int32)), pa.array(np.full(len(w), block)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(np.frombuffer(n, "<i4").astype(np.int64))],
+                    [pa.array(w), pa.array(np.frombuffer(s, "<u2").astype(np.int32)), pa.array(np.full(len(w), block)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(unpack(n, 4))],
                     names=["word", "suffix", "block", "at", "n"],
                 )
 
     return blocks.select("block", "words", "suffix", "counts").mapInArrow(run, "word long, suffix int, block long, at int, n long")
 
 
+def with_counts(rows: DataFrame) -> DataFrame:
+    """(block, at, c, word, suffix): the corpus count of each block's words that training documents have;
+    word and suffix stand in one row of each word only. One shuffle by word; a word has a row a block, and
+    sums over it spill."""
+    every = Window.partitionBy("word")
+    first = F.row_number().over(every.orderBy("block")) == 1
+    found = rows.withColumn("first", first).withColumn("c", F.sum("n").over(every.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return found.where("c > 0").select("block", "at", "c", F.when(F.col("first"), F.col("word")).alias("word"), F.when(F.col("first"), F.col("suffix")).alias("suffix"))
+
+
+def packed_counts(counted: DataFrame) -> DataFrame:
+    """(block, data): many (at, c) of a block in one compressed value, some rows a block and task."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                n += b.num_rows
+            if held and (b is None or n >= 1_000_000):
+                block, at, c = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(3))
+                order = np.lexsort((at, block))
+                block, at, c = block[order], at[order], c[order]
+                ids, first = np.unique(block, return_index=True)
+                ends = np.append(first[1:], len(block))
+                data = [pack(np.concatenate([np.diff(at[x:y], prepend=0), c[x:y]]), 8) for x, y in zip(first, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(data, pa.binary())], names=["block", "data"])
+                held, n = [], 0
+
+    return counted.select("block", "at", "c").mapInArrow(run, "block long, data binary")
+
+
 @dataclass
 class Classes:
     """How words map to classes, and the totals that turn counts into probabilities."""
@@ -216,13 +265,12 @@ def starting_model(cls: np.ndarray, lengths: np.ndarray, classes: Classes, state
 
 
 def fit_classes(counts: DataFrame, own_classes: int = OWN_CLASSES) -> Classes:
-    """Classes and totals from ``counts`` (word, suffix, c). Collects at most ``own_classes`` words and a row
+    """Classes and totals from ``counts`` (word, suffix, c: above 0). Collects at most ``own_classes`` words and a row
     a suffix class."""
-    seen = counts.where("c > 0")
-    t = seen.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    t = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n, v, once = t.n or 0, t.v, t.once
-    top = seen.orderBy(F.desc("c"), "word").limit(own_classes).collect()
-    sums = {r.suffix: r.c for r in seen.groupBy("suffix").agg(F.sum("c").alias("c")).collect()}
+    top = counts.orderBy(F.desc("c"), "word").limit(own_classes).collect()
+    sums = {r.suffix: r.c for r in counts.groupBy("suffix").agg(F.sum("c").alias("c")).collect()}
     total = np.zeros(len(top) + SUFFIX_CLASSES + 2)
     for k, r in enumerate(top):
         total[k] = r.c
@@ -249,11 +297,13 @@ def classified(blocks: DataFrame, looked_up: DataFrame, classes: Classes) -> Dat
             return pa.Table.from_batches([], _arrow(CODES))
         word = np.frombuffer(left["words"][0].as_py(), "<u8")
         count = np.zeros(len(word), np.int64)
-        count[right["at"].to_numpy()] = right["c"].to_numpy()
+        for data in right["data"].to_pylist():
+            at, c = unpack(data, 8).reshape(2, -1)
+            count[np.cumsum(at)] = c
         cls = classes.of(word, np.frombuffer(left["suffix"][0].as_py(), "<u2"), count)
         table = left.select(["block", "doc_id", "train", "length", "tokens"])
-        one = lambda x, t: pa.array([x.astype(t).tobytes()], pa.binary())
-        return table.append_column("class", one(cls, "<i4")).append_column("count", one(count, "<i8")).cast(_arrow(CODES))
+        one = lambda x: pa.array([x], pa.binary())
+        return table.append_column("class", one(pack(cls, 4))).append_column("count", one(pack(count, 8))).cast(_arrow(CODES))
 
     return blocks.drop("counts").groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(join, CODES)
 
@@ -266,8 +316,8 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 def _sequences(b: pa.RecordBatch, k: int):
     """(lengths, tokens as positions, class and count of each word) of row k of coded blocks."""
-    get = lambda c, t: np.frombuffer(b.column(b.schema.get_field_index(c))[k].as_py(), t)
-    return get("length", "<i4").astype(np.int64), get("tokens", "<i4"), get("class", "<i4"), get("count", "<i8")
+    get = lambda c, width: unpack(b.column(b.schema.get_field_index(c))[k].as_py(), width)
+    return get("length", 4), get("tokens", 4), get("class", 4), get("count", 8)
 
 
 def baum_welch_pass(codes: DataFrame, model: Model, classes: Classes) -> Model:
@@ -364,12 +414,10 @@ def hmm_scores(docs: DataFrame, train: Column, states: int = STATES, passes: int
     scratch = Scratch(spark, "hmm")
     use = F.coalesce(train & F.col("doc_id").isNotNull(), F.lit(False))
     blocks = scratch.table(coded(docs.select("doc_id", "text", use.alias("train"))), "blocks")
-    rows = vocabulary_rows(blocks)
-    counts = scratch.table(rows.groupBy("word").agg(F.sum("n").alias("c"), F.min("suffix").alias("suffix")), "counts")
-    classes = fit_classes(counts)
-    looked_up = rows.select("word", "block", "at").join(counts.where("c > 0").select("word", "c"), "word").select("block", "at", "c")
-    codes = scratch.table(classified(blocks, looked_up, classes), "codes")
-    scratch.drop(blocks)
+    counted = scratch.table(with_counts(vocabulary_rows(blocks)), "counts")
+    classes = fit_classes(counted.where("word is not null").select("word", "suffix", "c"))
+    codes = scratch.table(classified(blocks, packed_counts(counted), classes), "codes")
+    scratch.drop(blocks, counted)
     model = starting_model(*_sample(codes, classes, SAMPLE, SAMPLE_TOKENS), classes, states)
     for _ in range(passes):
         model = baum_welch_pass(codes, model, classes)
