@@ -62,7 +62,8 @@ def git_files(root: str) -> list[str] | None:
 
 
 def scan_directory(spark: SparkSession, root: str, include: list[str], exclude: list[str], known: list[str] | None = None, use_git: bool = True) -> DataFrame:
-    """path (relative), size, modified, text, hash, status of the files under ``root`` that pass the globs."""
+    """path (relative), size, modified, text, hash, status of the files under ``root`` that pass the globs.
+    Spark's reader passes over files without a byte."""
     base = Path(root).resolve().as_posix()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     path = tx.project_relative(F.regexp_replace("path", r"^file:/*", "/"), base)
