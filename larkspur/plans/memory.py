@@ -225,7 +225,7 @@ def prune_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.prune(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), scanned, "s_suppkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN l_suppkey END AS l_suppkey FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN l_suppkey ELSE -1 END AS l_suppkey FROM lineitem""")
 def null_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    return store.null_dangling(l, table(spark, sf_dir, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey")
+    return store.null_dangling(l, table(spark, sf_dir, "supplier").where("s_acctbal > 0"), "l_suppkey", "s_suppkey").fillna(-1, ["l_suppkey"])
