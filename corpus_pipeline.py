@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm.common import Scratch, table
+from larkspur.llm.common import Scratch, table, with_ids
 from larkspur.llm.langid import identify, train_dictionaries
 from larkspur.llm.minhash import minhash_near_duplicates
 from larkspur.llm.packing import pack_documents
@@ -29,8 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    stay = minhash_near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    found = minhash_near_duplicates(docs, shingle=5, percent=80).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = Scratch(spark, "gone").table(found.where("not kept").select("doc_id"), "ids")
+    return with_ids(docs, gone, "doc_id", "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

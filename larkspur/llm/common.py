@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
+from ..runtime import ship
+
+__all__ = ["Scratch", "crc32_mod", "shared_dir", "ship", "table", "with_ids"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,17 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the repository isn't on their path."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    _shipped.add(sc.applicationId)
-    at = Path(tempfile.mkdtemp(prefix="larkspur-src-")) / "larkspur_src.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted((ROOT / "larkspur").rglob("*.py")):
-            z.write(p, p.relative_to(ROOT))
-    sc.addPyFile(str(at))
+#: Up to so many ids (8 bytes each) are sent to all tasks; beyond, both sides are shuffled.
+ID_LIMIT = 2_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``df`` semi- or anti-joined with a written table of distinct ids. Its size is counted first: a small one
+    spares moving the texts of ``df``."""
+    return df.join(F.broadcast(ids) if ids.count() <= ID_LIMIT else ids, key, how)
 
 
 class Scratch:

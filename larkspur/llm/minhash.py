@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, ship, with_ids
 from .components import connected_components
 from .textkernel import hash_spans, mix, ragged, rows_of, texts, words
 
@@ -130,7 +130,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links: the pairs whose full sets have the wanted similarity. Only sets of documents in pairs are made."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch.table(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), "sets")
+    wanted = scratch.table(wanted, "wanted")
+    sets = scratch.table(full_sets(with_ids(docs.select("doc_id", "text"), wanted, "doc_id"), k), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     links = scratch.table(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
@@ -230,7 +231,7 @@ def _rest(members: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFr
     cell = scratch.table(cell.unionAll(cell.select(F.col("cell").alias("component"), "cell")).distinct(), "cells")
     inside = small.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(cell, "component")
     inside = scratch.table(inside.select("cell", "id", "component", "n", "signature"), "inside")
-    sets = full_sets(docs.select("doc_id", "text").join(inside.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), k)
+    sets = full_sets(with_ids(docs.select("doc_id", "text"), inside.select(F.col("id").alias("doc_id")), "doc_id"), k)
     return scratch.table(_links_in_cells(inside.join(sets, "id"), percent), "links")
 
 
