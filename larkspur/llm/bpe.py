@@ -16,7 +16,7 @@ import tiktoken
 
 from .textkernel import hash_spans, ragged
 
-CACHE = 1_000_000
+CACHE = 250_000
 _GRAPHIC = np.zeros(256, bool)
 _GRAPHIC[0x21:0x7F] = True
 #: Lead bytes of two-byte characters of which none is white space (U+00C0 and on).

@@ -95,7 +95,7 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
 
 
-def rows_of(batches, limit: int = 16 << 20):
+def rows_of(batches, limit: int = 8 << 20):
     """The batches, cut so that none has more than about ``limit`` bytes of text (one row at least)."""
     for b in batches:
         k = b.schema.get_field_index("text")
