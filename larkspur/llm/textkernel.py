@@ -18,7 +18,7 @@ _LOWER = _BYTE.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = np.uint64(int(_rng.integers(1, 2**63)) * 2 + 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 17
 _powers: list[np.ndarray] = []
 
 
@@ -70,7 +70,7 @@ def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = Fals
     """A 64-bit hash of each span's bytes (A-Z lower-cased if asked). Spans ascend and don't overlap.
 
     Prefix sums of a random-table polynomial give each span's hash by one subtraction; work goes in
-    segments of about 2 MB cut between spans, so memory doesn't grow with a text's length."""
+    segments of about 128 KB cut between spans, so memory doesn't grow with a text's length."""
     out = np.empty(len(s), np.uint64)
     value = _LOWER if lower else _BYTE
     k = 0
@@ -95,7 +95,7 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
 
 
-def rows_of(batches, limit: int = 8 << 20):
+def rows_of(batches, limit: int = 2 << 20):
     """The batches, cut so that none has more than about ``limit`` bytes of text (one row at least)."""
     for b in batches:
         k = b.schema.get_field_index("text")
