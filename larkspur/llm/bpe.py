@@ -3,11 +3,16 @@
 The batch encoder cuts texts before a white-space character that follows one that surely isn't white
 space. No match of the split pattern crosses such a place (a match may begin with white space, never hold
 it after another character), what comes before is matched alike with or without what comes after, and a
-match depends on nothing before it; so the pieces' ids concatenate to the text's ids. Equal pieces are encoded once; a bounded cache serves later batches."""
+match depends on nothing before it; so the pieces' ids concatenate to the text's ids. Equal pieces are encoded once; a bounded cache serves later batches.
+
+Special tokens, if given, are cut out of texts first and have ids of their own, as the tokenizers library
+does with the added tokens of a vocabulary file; without them their strings are ordinary text."""
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 from itertools import repeat
 
@@ -47,21 +52,32 @@ def token_bytes(path: str) -> np.ndarray:
     return out
 
 
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(string, id) of the added tokens of a tokenizers vocabulary file."""
+    with open(path, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f).get("added_tokens") or ())
+
+
 def _solid_end(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Whether each span ends with a character that surely isn't white space."""
     return _GRAPHIC[buf[e - 1]] | ((e - s > 2) & _LEAD2[buf[np.maximum(e - 2, 0)]])
 
 
 class BatchEncoder:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
         self.path, self.enc = path, encoding(path, pattern)
+        self.special = {t.encode(): i for t, i in special}
+        self.find = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if special else None
         self.grown: list[tuple[np.ndarray, np.ndarray]] = []
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        raw = np.frombuffer(b"".join(self.special), np.uint8)
+        ends = np.cumsum([len(t) for t in self.special], dtype=np.int64)
+        h = hash_spans(raw, ends - np.array([len(t) for t in self.special], np.int64), ends)
+        self.slot: dict[int, int] = {x: k for k, x in enumerate(h.tolist())}
+        self.start, self.length = np.arange(len(h)), np.ones(len(h), np.int64)
+        self.ids = np.array(list(self.special.values()), np.uint32)
 
     def _learn(self, hashes: np.ndarray, raw: bytes, s: np.ndarray, e: np.ndarray, joins: np.ndarray) -> None:
         """Encode new pieces. Those that begin with white space and end without it (joins) tokenise alike
@@ -83,6 +99,17 @@ class BatchEncoder:
             self.ids = np.concatenate([self.ids, *(x for x, _ in self.grown)])
             self.start, self.length, self.grown = np.cumsum(n) - n, n, []
 
+    def _specials(self, raw: bytes, off: np.ndarray) -> list[int]:
+        """Where special tokens begin and end; a match across two texts is none."""
+        out, at = [], 0
+        while m := self.find.search(raw, at):
+            a, b = m.span()
+            inside = off[np.searchsorted(off, a, "right") :]
+            if whole := not (len(inside) and inside[0] < b):
+                out += [a, b]
+            at = b if whole else a + 1
+        return out
+
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's ids)."""
         n = len(buf)
@@ -94,6 +121,9 @@ class BatchEncoder:
         cut &= _BREAK[buf]
         edge = off[:-1][off[:-1] < off[1:]]
         cut[edge] = True
+        if self.find:
+            edges = np.array(self._specials(buf.tobytes(), off), np.int64)
+            cut[edges[edges < n]] = True
         s = np.flatnonzero(cut)
         e = np.append(s[1:], n)
         h, first, inv = np.unique(hash_spans(buf, s, e), return_index=True, return_inverse=True)
@@ -114,6 +144,6 @@ class BatchEncoder:
 
 
 @lru_cache(2)
-def batch_encoder(path: str, pattern: str) -> BatchEncoder:
+def batch_encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> BatchEncoder:
     """One for a worker process, with its cache."""
-    return BatchEncoder(path, pattern)
+    return BatchEncoder(path, pattern, special)

@@ -133,13 +133,13 @@ def cut(total: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return doc, piece, start, np.where(piece == 0, head[doc], capacity)
 
 
-def tokenized_pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int, end_id: int, special=()) -> DataFrame:
     """One row a piece. ``block`` and ``local_rank`` say where among the pieces of its length it comes."""
 
     def run(batches):
         from .bpe import batch_encoder
 
-        encoder, seen, block, left = batch_encoder(vocabulary, pattern), np.zeros(capacity + 1, np.int64), None, 0
+        encoder, seen, block, left = batch_encoder(vocabulary, pattern, special), np.zeros(capacity + 1, np.int64), None, 0
         for b in rows_of(batches):
             if block is None:
                 from pyspark import TaskContext
@@ -168,17 +168,18 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: i
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0, special: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """All pieces of ``docs`` (doc_id, text) with their ids (little-endian unsigned 32-bit) and places.
 
     Returns doc_id, piece, start, length, ids, sequence_id, offset. A document is its ids and ``end_id``;
-    a null or empty text is ``end_id`` alone. Only documents of more than ``capacity`` ids are cut. Rows
+    a null or empty text is ``end_id`` alone. ``special`` strings (with ids) are cut out of texts first;
+    without it no string is special. Only documents of more than ``capacity`` ids are cut. Rows
     with the same (or no) doc_id are documents of their own. An empty table gives no rows. Other columns
     of ``docs`` are ignored, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "pack")
-    pieces = scratch.table(tokenized_pieces(docs, vocabulary, pattern, capacity, end_id), "pieces")
+    pieces = scratch.table(tokenized_pieces(docs, vocabulary, pattern, capacity, end_id, special), "pieces")
     # counts of each block and length: far fewer than pieces; ranks of blocks are running sums within a length
     counts = pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n"))
     plan = plan_packing({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

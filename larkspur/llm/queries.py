@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import special_tokens
 from .bpetree import decode_ids, encode_texts
 from .chat import FORMAT_CHATS_SQL, format_chats
 from .common import crc32_mod, table
@@ -20,10 +21,11 @@ from .warc import round_trip
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+SPECIAL = special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN, capacity=2048, end_id=0)
+    packed = pack_documents(table(spark, sf_dir, "documents"), RANKS, PATTERN, capacity=2048, end_id=0, special=SPECIAL)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 

@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 from bisect import insort
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
@@ -37,6 +38,22 @@ def test_batch_encoder_is_the_tokenizers_library():
     assert [ids[off[k] : off[k + 1]].tolist() for k in range(len(texts))] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@lru_cache
+def _tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<", " ", "a b", "\n", "é", "<|"]), max_size=7).map("".join), max_size=6))
+def test_special_tokens_as_the_tokenizers_library_has_them(texts):
+    e = bpe.batch_encoder(RANKS, PATTERN, bpe.special_tokens(P.path("byte_bpe_50k.json")))
+    ids, off = e.encode(*textkernel.texts(pa.array(texts, pa.string())))
+    for k, x in enumerate(_tokenizer().encode_batch(texts, add_special_tokens=False)):
+        assert ids[off[k] : off[k + 1]].tolist() == x.ids
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=ODD, max_size=80), st.sampled_from([1, 2, 3, 7]))
 def test_tree_codec_round_trip(text, leaf):
