@@ -6,7 +6,7 @@ start_line, end_line, parent_id), files (file_id, path)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -118,16 +118,81 @@ def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     return c.groupBy("import_id").agg(F.min_by("file_id", "priority").alias("resolved_file_id"))
 
 
-def resolve_suffix(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(import_id, resolved_file_id) by the end of the path: ``wanted`` (a path such as a/b.py) from file ``path``. Of
+def resolve_suffix(imports: DataFrame, files: DataFrame, keys: tuple[str, ...] = ("import_id",)) -> DataFrame:
+    """(``keys``, resolved_file_id) by the end of the path: ``wanted`` (a path such as a/b.py) from file ``path``. Of
     several files the one that shares most leading directories with the importer; true ties stay unresolved.
-    Joined on the base name, not by comparing all with all."""
-    f = files.select("file_id", F.col("path").alias("target"), tx.basename("path").alias("base"))
-    j = imports.withColumn("base", tx.basename("wanted")).join(f, "base")
+    Joined on the last two parts of the path (or on the base name if that is all), so that a base name which
+    every package has doesn't bring all files together."""
+    last = lambda c, n: F.array_join(F.slice(F.split(c, "/"), -n, n), "/")
+    f = files.select("file_id", F.col("path").alias("target"))
+    f = f.withColumn("tail", F.explode(F.array_distinct(F.array(last("target", 1), F.when(F.instr("target", "/") > 0, last("target", 2)).otherwise(last("target", 1))))))
+    j = imports.withColumn("tail", F.when(F.instr("wanted", "/") > 0, last("wanted", 2)).otherwise(F.col("wanted"))).join(f, "tail")
     j = j.where((F.col("target") == F.col("wanted")) | F.endswith("target", F.concat(F.lit("/"), F.col("wanted"))))
     a, b = F.split(tx.dirname("path"), "/"), F.split(tx.dirname("target"), "/")
     equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     depth = F.aggregate(equal, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + F.when(s["on"] & x, 1).otherwise(0)).alias("n"), (s["on"] & x).alias("on")), lambda s: s["n"])
-    best = j.withColumn("depth", depth).groupBy("import_id", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("file_id"))
-    top = best.groupBy("import_id").agg(F.max(F.struct("depth", "n", "file_id")).alias("t"))
-    return top.where("t.n = 1").select("import_id", F.col("t.file_id").alias("resolved_file_id"))
+    best = j.withColumn("depth", depth).groupBy(*keys, "depth").agg(F.count(F.lit(1)).alias("n"), F.min("file_id").alias("file_id"))
+    top = best.groupBy(*keys).agg(F.max(F.struct("depth", "n", "file_id")).alias("t"))
+    return top.where("t.n = 1").select(*keys, F.col("t.file_id").alias("resolved_file_id"))
+
+
+# Languages that name modules by dots: extension, a package's own file, folders packages lie in.
+DOTTED = {
+    ".py": ("__init__.py", ("", "src", "lib")),
+    ".java": (None, ("", "src", "src/main/java")),
+    ".kt": (None, ("", "src", "src/main/kotlin")),
+    ".scala": (None, ("", "src", "src/main/scala")),
+}
+# Extensions of files whose quoted includes name files.
+INCLUDING = (".c", ".h", ".cc", ".cpp", ".cxx", ".hh", ".hpp")
+
+
+def _step(path: Column, suffix: bool = False) -> Column:
+    return F.struct(path.alias("candidate"), F.lit(suffix).alias("suffix"))
+
+
+def module_candidates(imports: DataFrame) -> DataFrame:
+    """import_id, path, priority, candidate, suffix of specifiers that aren't relative paths: dotted modules under
+    the usual roots and then anywhere, modules relative to a package (leading dots), and includes beside the file
+    and then anywhere. ``suffix`` candidates match the end of a path, the others all of it."""
+    spec, ext = F.col("specifier"), F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    here = tx.dirname("path")
+    none = F.array().cast("array<struct<candidate:string,suffix:boolean>>")
+    options = none
+    for own, (package, roots) in DOTTED.items():
+        module = F.replace(spec, F.lit("."), F.lit("/"))
+        forms = [F.concat(module, F.lit(own)), *([F.concat(module, F.lit(f"/{package}"))] if package else [])]
+        steps = [_step(F.concat(F.lit(f"{r}/" if r else ""), x)) for r in roots for x in forms] + [_step(x, True) for x in forms]
+        options = F.when((ext == own) & ~spec.startswith(".") & ~spec.startswith("/"), F.array(*steps)).otherwise(options)
+    dots = F.length(F.regexp_extract(spec, r"^\.+", 0))
+    up = F.split(here, "/")
+    folder = F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - dots + 1, F.lit(0))), "/")
+    rest = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
+    base = F.concat_ws("/", F.when(folder != "", folder), F.when(rest != "", rest))
+    inner = F.when(rest != "", F.array(_step(F.concat(base, F.lit(".py"))), _step(F.concat(base, F.lit("/__init__.py"))))).otherwise(F.array(_step(F.concat_ws("/", F.when(base != "", base), F.lit("__init__.py")))))
+    options = F.when((ext == ".py") & spec.startswith(".") & ~spec.contains("/"), inner).otherwise(options)
+    beside = F.concat_ws("/", F.when(here != "", here), spec)
+    options = F.when(ext.isin(*INCLUDING) & ~spec.startswith(".") & ~spec.startswith("/") & ~spec.startswith("<"), F.array(_step(beside), _step(spec, True))).otherwise(options)
+    return imports.select("import_id", "path", F.posexplode(options).alias("priority", "c")).select("import_id", "path", "priority", "c.*")
+
+
+def resolve_go(imports: DataFrame, files: DataFrame, module: str) -> DataFrame:
+    """(import_id, resolved_file_id): a package under ``module`` is the first file, by path, of its folder that is no test."""
+    source = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go"))
+    first = source.groupBy(tx.dirname("path").alias("folder")).agg(F.min_by("file_id", "path").alias("resolved_file_id"))
+    inside = imports.where(F.col("path").endswith(".go") & ((F.col("specifier") == module) | F.col("specifier").startswith(f"{module}/")))
+    return inside.select("import_id", F.substring("specifier", len(module) + 2, 1 << 20).alias("folder")).join(first, "folder").select("import_id", "resolved_file_id")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, go_module: str | None = None) -> DataFrame:
+    """(import_id, resolved_file_id) of ``imports`` (import_id, path, specifier) that name one of ``files`` (file_id,
+    path relative to the project): relative paths, dotted modules, includes, Go packages. Names of things outside
+    the project match no file and give no row. Whole paths go before path ends, which only the rest is joined with."""
+    tried = module_candidates(imports)
+    whole = tried.where("not suffix").join(files.select("file_id", F.col("path").alias("candidate")), "candidate")
+    whole = whole.groupBy("import_id").agg(F.min_by("file_id", F.struct("priority", "file_id")).alias("resolved_file_id"))
+    rest = tried.where("suffix").join(whole, "import_id", "left_anti").withColumnRenamed("candidate", "wanted")
+    ends = resolve_suffix(rest, files, ("import_id", "priority")).groupBy("import_id").agg(F.min_by("resolved_file_id", "priority").alias("resolved_file_id"))
+    paths = resolve_relative(imports.where(~(F.col("path").endswith(".py") & ~F.col("specifier").contains("/"))), files)
+    found = whole.unionByName(ends).unionByName(paths)
+    return found.unionByName(resolve_go(imports, files, go_module)) if go_module else found

@@ -149,6 +149,19 @@ def find_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sy.find_usages(refs, ex, rf.select("file_id", F.col("file_id").alias("path")).distinct(), name)
 
 
+# parts as files, in two layouts of dotted modules and one of packages; edges as imports of what the part's file is called
+@query(f"""WITH {EDGES}, f AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 3 = 2 AS go, CASE p_partkey % 3 WHEN 0 THEN 'src/b' WHEN 1 THEN 'packs/x/b' ELSE 'go/b' END || p_size || '/m' || p_partkey || CASE p_partkey % 3 WHEN 2 THEN '.go' ELSE '.py' END AS path FROM part),
+g AS (SELECT s, arg_min(id, path) AS first FROM f WHERE go GROUP BY s)
+SELECT src * 1000000 + dst AS import_id, CASE WHEN t.go THEN g.first ELSE dst END AS resolved_file_id FROM edges JOIN f ON f.id = src JOIN f t ON t.id = dst LEFT JOIN g ON g.s = t.s WHERE f.go = t.go""")
+def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, key = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    folder = F.concat(F.when(kind == 0, "src/b").when(kind == 1, "packs/x/b").otherwise("go/b"), F.col("p_size").cast("string"))
+    called = F.when(kind == 2, F.concat(F.lit("ex.com/p/"), folder)).otherwise(F.concat(F.lit("b"), F.col("p_size").cast("string"), F.lit(".m"), key))
+    f = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.concat(folder, F.lit("/m"), key, F.when(kind == 2, ".go").otherwise(".py")).alias("path"), called.alias("specifier"))
+    im = edges(spark, sf_dir).join(f.select(F.col("file_id").alias("src"), "path"), "src").join(f.select(F.col("file_id").alias("dst"), "specifier"), "dst")
+    return sy.resolve_imports(im.select((F.col("src") * 1000000 + F.col("dst")).alias("import_id"), "path", "specifier"), f.select("file_id", "path"), "ex.com/p")
+
+
 # chunks with ranges of lines: line items of an order, quantity as their length
 RANGES = "rg AS (SELECT l_orderkey AS file_id, l_partkey AS chunk_id, (l_suppkey % 40)::BIGINT AS start_line, (l_suppkey % 40 + l_quantity)::BIGINT AS end_line FROM lineitem)"
 

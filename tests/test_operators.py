@@ -160,6 +160,20 @@ def test_references(spark):
     assert {r.import_id: r.resolved_file_id for r in sy.resolve_suffix(im, files).collect()} == {1: 4}
 
 
+def test_resolve_imports(spark):
+    names = ["pkg/a.py", "pkg/b.py", "pkg/sub/__init__.py", "src/flat/c.py", "mono/one/deep/d.py", "pkg/__init__.py", "src/main/java/com/x/Foo.java", "app/kotlin/com/x/Bar.kt",
+             "c/main.c", "c/util.h", "lib/inc/helper.h", "go/b.go", "go/a_test.go", "go/c.go", "root.go", "web/a.ts", "web/lib/index.ts", "t1/same.h", "t2/same.h"]
+    files = spark.createDataFrame(list(enumerate(names)), "file_id long, path string")
+    cases = [("pkg/a.py", "pkg.b", "pkg/b.py"), ("pkg/a.py", "pkg.sub", "pkg/sub/__init__.py"), ("pkg/a.py", "flat.c", "src/flat/c.py"), ("pkg/a.py", "deep.d", "mono/one/deep/d.py"), ("pkg/a.py", "os", None),
+             ("pkg/a.py", ".b", "pkg/b.py"), ("pkg/a.py", ".", "pkg/__init__.py"), ("pkg/sub/__init__.py", "..b", "pkg/b.py"), ("pkg/a.py", ".none", None), ("A.java", "com.x.Foo", "src/main/java/com/x/Foo.java"), ("A.kt", "com.x.Bar", "app/kotlin/com/x/Bar.kt"),
+             ("A.java", "java.util.List", None), ("c/main.c", "util.h", "c/util.h"), ("c/main.c", "inc/helper.h", "lib/inc/helper.h"), ("c/main.c", "<stdio.h>", None), ("c/main.c", "same.h", None), ("t1/x.c", "same.h", "t1/same.h"),
+             ("root.go", "ex.com/p/go", "go/b.go"), ("go/b.go", "ex.com/p", "root.go"), ("go/b.go", "ex.com/pq", None), ("go/b.go", "fmt", None), ("web/a.ts", "./lib", "web/lib/index.ts"), ("web/a.ts", "react", None), ("c/main.c", "./util.h", "c/util.h")]
+    im = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "import_id long, path string, specifier string")
+    got = {r.import_id: names[r.resolved_file_id] for r in sy.resolve_imports(im, files, "ex.com/p").collect()}
+    assert [got.get(k) for k in range(len(cases))] == [c for *_, c in cases]
+    assert sy.resolve_imports(im.limit(0), files).count() == sy.resolve_imports(im, files.limit(0), "ex.com/p").count() == 0
+
+
 def test_history(spark):
     c = spark.createDataFrame([(i, f"2024-01-{i:02d}T10:00:00", i == 4) for i in range(1, 7)], "commit_id long, date string, is_merge boolean")
     f = [(1, "src/db.ts"), (1, "src/a.ts"), (2, "src/db.ts"), (2, "src/a.ts"), (3, "src/db.ts"), (3, "src/mydb.ts"), (4, "src/db.ts"), (4, "src/a.ts"), (6, "src/a.ts"), (6, "x")]
