@@ -6,13 +6,18 @@
 3. In each block every vector gets its nearest ones as candidates, pruned robustly: a candidate is dropped
    if a chosen neighbour is closer to it by a factor; reverse edges are added. A vector's adjacency lists
    from all its shards are united.
-4. Every vector is searched in its nearest shards (all their blocks) from the block's medoid: a greedy beam
-   first, then the range is expanded, every hit's neighbours being looked at, until no new hit turns up.
+4. Every vector is searched in its nearest shards (all their blocks) from the block's medoid, spread rows and
+   one row of each part that these don't reach: a greedy beam first, then the range is expanded, every hit's
+   neighbours being looked at, until no new hit turns up.
 5. Hits are checked by their cosine in double precision. Recall is audited by comparing a bounded set of
-   vectors with all; below the aim the graph is built again with more overlap."""
+   vectors with all, vector by vector and by number of links; below the aim the graph is built again with more
+   overlap, and if the last build misses it too, vectors are compared exactly with every shard that can hold
+   a link of theirs."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,9 +32,13 @@ from .components import connected_components
 
 SHARD, BLOCK, MAX_CENTRES = 1000, 4096, 4096
 #: Vectors that the centres are fitted on, and that recall is audited on, at most.
-SAMPLE, AUDIT = 16384, 512
+SAMPLE, AUDIT = 16384, 1024
+#: Audited vectors that a recall by number of links is taken over, at least.
+STRATUM = 8
 OVERLAP, MORE_PROBES, MIN_RECALL, ROUNDS = 2, 1, 0.98, 3
 DEGREE, CANDIDATES, ALPHA, BEAM, WIDTH = 24, 64, 1.2, 32, 4
+#: One row in so many is a start of the search besides the medoid.
+SPREAD = 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -54,7 +63,8 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Neighbours of each row of unit vectors, reverse edges included (up to ``degree`` more)."""
+    """Neighbours of each row of unit vectors, reverse edges included (up to ``degree`` more, and beyond that
+    for rows that nothing else leads to)."""
     m = len(x)
     if m < 2:
         return [np.zeros(0, np.int64)] * m
@@ -86,27 +96,50 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> l
         for j in n.tolist():
             if len(back[j]) < degree:
                 back[j].append(i)
+    led_to = np.zeros(m, bool)
+    led_to[np.concatenate([*out, *(np.array(b, np.int64) for b in back)])] = True
+    for i in np.flatnonzero(~led_to).tolist():
+        back[min(out[i].tolist(), key=lambda j: len(back[j]))].append(i)
     return [np.unique(np.concatenate([n, np.array(b, np.int64)])).astype(np.int64) for n, b in zip(out, back)]
 
 
+def starts(x: np.ndarray, adjacency: np.ndarray) -> np.ndarray:
+    """Rows to search from: the medoid, one row in SPREAD, and a row of each part that these don't reach."""
+    picked = np.unique(np.append(np.arange(0, len(x), SPREAD), (x @ x.mean(0)).argmax()))
+    more, front, seen = [], picked, np.zeros(len(x), bool)
+    while True:
+        while len(front):
+            seen[front] = True
+            near = np.unique(adjacency[front])
+            near = near[near >= 0]
+            front = near[~seen[near]]
+        if seen.all():
+            return np.concatenate([picked, np.array(more, np.int64)])
+        front = np.array([seen.argmin()])
+        more.append(front[0])
+
+
 def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs of inner product ``least`` or more that greedy search from the medoid and range
+    """(query, row) pairs of inner product ``least`` or more that greedy search from ``starts`` and range
     expansion find. ``adjacency``: rows of x, padded with -1."""
     m = len(x)
-    medoid = int((x @ x.mean(0)).argmax())
+    first = starts(x, adjacency)
+    width = min(BEAM, len(first))
     found_q, found_x = [], []
     for a in range(0, len(queries), 256):
         q = queries[a : a + 256]
         n, rows = len(q), np.arange(len(q))
         seen = np.zeros((n, m), bool)
-        seen[:, medoid] = True
+        seen[:, first] = True
         ids = np.full((n, BEAM), -1)
         score = np.full((n, BEAM), -np.inf)
         done = np.ones((n, BEAM), bool)
-        ids[:, 0], score[:, 0], done[:, 0] = medoid, q @ x[medoid], False
+        value = q @ x[first].T
+        best = np.argpartition(-value, width - 1, 1)[:, :width]
+        ids[:, :width], score[:, :width], done[:, :width] = first[best], np.take_along_axis(value, best, 1), False
         opened = np.zeros((n, m), bool)
         hits = np.zeros((n, m), bool)
-        hits[:, medoid] = score[:, 0] >= least
+        hits[:, first] = value >= least
         while not done.all():
             live = np.flatnonzero(~done.all(1))
             s = np.where(done[live], -np.inf, score[live])
@@ -171,7 +204,8 @@ def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 @dataclass
 class Found:
     """rows: vec_id, n_links, component_id, kept. links: a < b of class representatives, and copies of each.
-    recall: of the audit's links, None if it saw none. overlap: shards of a vector in the last build."""
+    recall: the least of the audited vectors' mean and of the means by number of links, None if the audit saw no
+    links; 1.0 if compared exactly. overlap: shards of a vector in the last build, 0 if compared exactly."""
 
     rows: DataFrame
     links: DataFrame
@@ -182,32 +216,58 @@ class Found:
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _routed(classes: DataFrame, dim: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Each class' nearest shards, nearest first."""
-    schema = T.StructType([*classes.select("id", "embedding").schema.fields, T.StructField("shards", T.ArrayType(T.IntegerType()))])
+def _routed(classes: DataFrame, dim: int, centres: np.ndarray, overlap: int, reach: np.ndarray | None = None) -> DataFrame:
+    """Each class' shards, nearest first: own (to be a node of) and shards (to be searched), MORE_PROBES more
+    or, with ``reach``, all whose centre is within the shard's angle of it."""
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*classes.select("id", "embedding").schema.fields, T.StructField("own", ints), T.StructField("shards", ints)])
 
     def run(batches):
         for b in batches:
             x = unit(_matrix(b.column(1), dim)) if b.num_rows else np.zeros((0, dim))
             s = x @ centres.T
-            k = min(probes, len(centres))
-            top = np.argsort(-s, 1, kind="stable")[:, :k].astype(np.int32)
-            shards = pa.ListArray.from_arrays(pa.array(np.arange(len(top) + 1, dtype=np.int32) * k), pa.array(top.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), shards], names=schema.names)
+            top = np.argsort(-s, 1, kind="stable").astype(np.int32)
+            own = list(top[:, :overlap])
+            shards = list(top[:, : overlap + MORE_PROBES]) if reach is None else [t[w] for t, w in zip(top, np.take_along_axis(_angle(s) <= reach, top, 1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(shards, pa.list_(pa.int32()))], names=schema.names)
 
     return classes.select("id", "embedding").mapInArrow(run, schema)
 
 
-def _graph_pairs(classes: DataFrame, dim: int, centres: np.ndarray, least: float, overlap: int, scratch: Scratch) -> DataFrame:
-    """Verified links (a < b) found with ``overlap`` shards a vector and MORE_PROBES more for its search."""
+def _angle(cosine: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def _reach(classes: DataFrame, dim: int, centres: np.ndarray, least: float) -> np.ndarray:
+    """How far a shard's centre can be, as an angle, from a vector that a vector of the shard (those nearest to
+    that centre) links to: the widest angle in the shard and that of a link, by the triangle inequality."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                s = unit(_matrix(b.column(0), dim)) @ centres.T
+                near = np.argsort(-s, 1, kind="stable")[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(_angle(s[np.arange(len(s)), near]))], names=["shard", "angle"])
+
+    out = np.full(len(centres), -1.0)
+    for r in classes.select("embedding").mapInArrow(run, "shard int, angle double").groupBy("shard").agg(F.max("angle").alias("angle")).collect():  # a row a centre at most
+        out[r.shard] = r.angle + math.acos(max(-1.0, min(1.0, least))) + 1e-6
+    return out
+
+
+def _pairs(classes: DataFrame, dim: int, centres: np.ndarray, least: float, overlap: int, scratch: Scratch) -> DataFrame:
+    """Verified links (a < b) found with ``overlap`` shards a vector and MORE_PROBES more for its search; with
+    overlap 0 all links, each vector being compared with all shards within reach."""
     spark = classes.sparkSession
-    routed = scratch.table(_routed(classes, dim, centres, overlap + MORE_PROBES), "routed")
+    exact = not overlap
+    reach = _reach(classes, dim, centres, least) if exact else None
+    routed = scratch.table(_routed(classes, dim, centres, max(overlap, 1), reach), "routed")
     sizes = {}
-    for take in (overlap, overlap + MORE_PROBES):
-        for r in routed.select(F.explode(F.slice("shards", 1, take)).alias("shard")).groupBy("shard").count().collect():  # a row a centre at most
-            sizes.setdefault(r.shard, [0, 0])[take != overlap] = r["count"]
+    for k, column in enumerate(("own", "shards")):
+        for r in routed.select(F.explode(column).alias("shard")).groupBy("shard").count().collect():  # a row a centre at most
+            sizes.setdefault(r.shard, [0, 0])[k] = r["count"]
     parts = spark.createDataFrame([(s, max(1, -(-n // BLOCK)), max(1, -(-q // BLOCK))) for s, (n, q) in sizes.items()], "shard int, blocks int, query_parts int")
-    own = routed.select("id", "embedding", F.explode(F.slice("shards", 1, overlap)).alias("shard")).join(parts, "shard")
+    own = routed.select("id", "embedding", F.explode("own").alias("shard")).join(parts, "shard")
     own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
@@ -217,9 +277,13 @@ def _graph_pairs(classes: DataFrame, dim: int, centres: np.ndarray, least: float
         flat = ids[np.concatenate(near)] if len(near) else np.zeros(0, np.int64)
         return pa.table({"id": ids, "near": pa.ListArray.from_arrays(pa.array(off), pa.array(flat))})
 
-    lists = own.select("shard", "block", "id", "embedding").groupBy("shard", "block").applyInArrow(build, "id long, near array<long>")
-    graph = scratch.table(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    nodes = own.join(graph, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
+    if exact:
+        own = own.withColumn("near", F.array().cast("array<bigint>"))
+    else:
+        lists = own.select("shard", "block", "id", "embedding").groupBy("shard", "block").applyInArrow(build, "id long, near array<long>")
+        graph = scratch.table(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+        own = own.join(graph, "id")
+    nodes = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)))
     nodes = nodes.select("shard", "block", "part", "id", "embedding", "near")
     asks = routed.select("id", "embedding", F.explode("shards").alias("shard")).join(parts, "shard")
     asks = asks.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("query_parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -228,20 +292,23 @@ def _graph_pairs(classes: DataFrame, dim: int, centres: np.ndarray, least: float
     def search(t: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         is_node = np.asarray(t["near"].combine_chunks().is_valid())
-        node, ask = t.filter(pa.array(is_node)), t.filter(pa.array(~is_node))
+        node, ask = t.filter(pa.array(is_node)).sort_by("id"), t.filter(pa.array(~is_node))
         if not node.num_rows or not ask.num_rows:
             return none
         ids, asked = node["id"].to_numpy(), ask["id"].to_numpy()
         x, q = unit(_matrix(node["embedding"], dim)), unit(_matrix(ask["embedding"], dim))
-        order = np.argsort(ids)
-        near = node["near"].combine_chunks()
-        size = np.asarray(pc.list_value_length(near))
-        flat = np.asarray(near.flatten())
-        at = np.minimum(np.searchsorted(ids[order], flat), len(ids) - 1)
-        at = np.where(ids[order][at] == flat, order[at], -1)  # united lists name vectors of other shards too
-        adjacency = np.full((len(ids), max(1, int(size.max()))), -1)
-        adjacency[np.arange(adjacency.shape[1]) < size[:, None]] = at
-        i, j = range_search(x.astype(np.float32), adjacency, q.astype(np.float32), least - 1e-4)
+        if exact:
+            found = [np.nonzero(q[a : a + 512] @ x.T >= least - 1e-9) for a in range(0, len(q), 512)]
+            i, j = np.concatenate([r + 512 * k for k, (r, _) in enumerate(found)]), np.concatenate([c for _, c in found])
+        else:
+            near = node["near"].combine_chunks()
+            size = np.asarray(pc.list_value_length(near))
+            flat = np.asarray(near.flatten())
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            at = np.where(ids[at] == flat, at, -1)  # united lists name vectors of other shards too
+            adjacency = np.full((len(ids), max(1, int(size.max()))), -1)
+            adjacency[np.arange(adjacency.shape[1]) < size[:, None]] = at
+            i, j = range_search(x.astype(np.float32), adjacency, q.astype(np.float32), least - 1e-4)
         sure = np.einsum("nd,nd->n", q[i], x[j]) >= least
         a, b = asked[i[sure]], ids[j[sure]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).filter(pa.array(a != b))
@@ -250,9 +317,24 @@ def _graph_pairs(classes: DataFrame, dim: int, centres: np.ndarray, least: float
     return scratch.table(pairs, "pairs")
 
 
+def worst_recall(true: np.ndarray, hit: np.ndarray) -> float:
+    """The least of the vectors' mean recall and of its means by number of links (powers of four, those of too
+    few vectors put together). ``true``, ``hit``: links of each vector, and those found."""
+    recall, order = hit / true, np.argsort(true, kind="stable")
+    means, held = [recall.mean()], []
+    for _, group in itertools.groupby(order.tolist(), lambda k: (int(true[k]).bit_length() + 1) // 2):
+        held += group
+        if len(held) >= STRATUM:
+            means.append(recall[held].mean())
+            held = []
+    # few vectors of many links count with the largest others, which their hits must not hide
+    if held:
+        means.append(recall[order[-max(len(held), STRATUM) :]].mean())
+    return float(min(means))
+
+
 def _audit(classes: DataFrame, dim: int, pairs: DataFrame, least: float) -> float | None:
-    """Share of the links of a bounded set of vectors that ``pairs`` has, by comparing the set with all rows
-    in blocks."""
+    """``worst_recall`` of ``pairs`` for a bounded set of vectors, by comparing the set with all rows in blocks."""
     picked = classes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDIT).select("id", "embedding").toArrow()
     if not picked.num_rows:
         return None
@@ -263,11 +345,11 @@ def _audit(classes: DataFrame, dim: int, pairs: DataFrame, least: float) -> floa
             if b.num_rows:
                 i, j = np.nonzero(q @ unit(_matrix(b.column(1), dim)).T >= least)
                 x, y = ids[i], b.column(0).to_numpy()[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[x != y]), pa.array(np.maximum(x, y)[x != y])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[x != y]) for c in (x, np.minimum(x, y), np.maximum(x, y))], names=["id", "a", "b"])
 
-    true = classes.select("id", "embedding").mapInArrow(run, PAIRS).distinct()
-    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).first()
-    return got.hit / got.n if got.n else None
+    true = classes.select("id", "embedding").mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), *PAIRS.fields]))
+    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).collect()  # AUDIT rows at most
+    return worst_recall(np.array([r.n for r in got]), np.array([r.hit for r in got])) if got else None
 
 
 def vector_near_duplicates(vectors: DataFrame, least: float = 0.95) -> Found:
@@ -292,13 +374,15 @@ def vector_near_duplicates(vectors: DataFrame, least: float = 0.95) -> Found:
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toArrow()
     centres = fit_centres(unit(_matrix(sample["embedding"], dim)), min(MAX_CENTRES, -(-n // SHARD))) if n else np.zeros((1, dim))
     overlap, recall = OVERLAP, None
-    for k in range(ROUNDS):
-        pairs = _graph_pairs(classes, dim, centres, least, overlap, scratch)
+    for _ in range(ROUNDS):
+        pairs = _pairs(classes, dim, centres, least, overlap, scratch)
         recall = _audit(classes, dim, pairs, least)
-        if recall is None or recall >= MIN_RECALL or k == ROUNDS - 1:
+        if recall is None or recall >= MIN_RECALL:
             break
         scratch.drop(pairs)
         overlap *= 2
+    else:
+        pairs, recall, overlap = _pairs(classes, dim, centres, least, 0, scratch), 1.0, 0
     sizes = classes.select("id", "copies")
     ends = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))

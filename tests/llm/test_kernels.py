@@ -210,3 +210,23 @@ def test_packed_integers():
     x = np.array([0, 1, 255, 256, 2**31 - 1, 5])
     assert hmm.unpack(hmm.pack(x, 4), 4).tolist() == x.tolist() and not len(hmm.unpack(hmm.pack(x[:0], 8), 8))
     assert zlib.crc32(b"7") % 10 in range(10)
+
+
+def test_search_reaches_groups_with_edges_only_into_themselves():
+    rng = np.random.default_rng(3)
+    heads = np.repeat(vectors.unit(rng.normal(size=(13, 32))), [1500] + 12 * [90], 0)
+    x = vectors.unit(heads + 0.01 * rng.normal(size=heads.shape)).astype(np.float32)
+    near = vectors.robust_prune(x)
+    adjacency = np.full((len(x), max(map(len, near))), -1)
+    for k, n in enumerate(near):
+        adjacency[k, : len(n)] = n
+    i, _ = vectors.range_search(x, adjacency, x[1500:], 0.95)
+    assert (np.bincount(i, minlength=12 * 90) == 90).all()
+
+
+def test_recall_of_a_hot_group_hides_no_other():
+    true = np.array([2] * 20 + [3000] * 300)
+    assert vectors.worst_recall(true, np.where(true == 2, 0, true)) == 0
+    assert vectors.worst_recall(true, true) == 1
+    few = np.array([1] * 30 + [100] * 3)
+    assert vectors.worst_recall(few, np.where(few == 1, 1, 0)) < vectors.MIN_RECALL

@@ -247,3 +247,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in d3.collect() if r.doc_id is not None) == sorted({p for p in part.values()})
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id or -1 for r in packed}) == sorted({r.doc_id or -1 for r in d3.collect()})
+
+
+def test_vectors_are_compared_exactly_where_the_aim_is_missed(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16))
+    x = np.concatenate([x, x + 0.2 * rng.normal(size=x.shape)])
+    monkeypatch.setattr(vectors, "MIN_RECALL", 2)
+    monkeypatch.setattr(vectors, "ROUNDS", 1)
+    monkeypatch.setattr(vectors, "SHARD", 40)
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    found = vectors.vector_near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.95)
+    unit = vectors.unit(x)
+    near = np.triu(unit @ unit.T >= 0.95, 1)
+    assert {(r.a, r.b) for r in found.links.collect()} == set(zip(*(k.tolist() for k in np.nonzero(near)))) and near.sum() > 200
+    assert found.recall == 1 and found.overlap == 0
