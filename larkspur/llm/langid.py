@@ -10,6 +10,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -55,10 +56,12 @@ def train_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fragment
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)):
         if _LETTER.search(r.text):
             texts.setdefault(r.lang, []).append(normal(r.text))
-    # equal size for all: a longer dictionary would win by its length alone
+    # equal size for all, that of the largest: a longer dictionary would win by its length alone, and a shorter
+    # one where nothing matches; shorter ones are filled up with shuffled bytes, which match nothing either
     joined = {k: b" ".join(v) for k, v in texts.items()}
-    size = min(map(len, joined.values()), default=0)
-    return {k: v[-max(size, 8) :].ljust(8) for k, v in sorted(joined.items())}
+    most = max(joined.values(), key=lambda v: (len(v), v), default=b"").ljust(8)
+    filler = np.random.default_rng(7).permutation(np.frombuffer(most, np.uint8)).tobytes()
+    return {k: filler[: len(most) - len(v)] + v for k, v in sorted(joined.items())}
 
 
 @lru_cache(4)

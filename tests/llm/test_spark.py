@@ -262,3 +262,13 @@ def test_vectors_are_compared_exactly_where_the_aim_is_missed(spark, monkeypatch
     near = np.triu(unit @ unit.T >= 0.95, 1)
     assert {(r.a, r.b) for r in found.links.collect()} == set(zip(*(k.tolist() for k in np.nonzero(near)))) and near.sum() > 200
     assert found.recall == 1 and found.overlap == 0
+
+
+def test_a_rare_language_leaves_the_others_their_dictionaries(spark):
+    fr, de = "le chat et la maison sont dans la rue avec les enfants " * 4, "der hund und das haus sind auf der straße mit den kindern " * 4
+    rows = [(i, fr if i % 2 else de, "fr" if i % 2 else "de") for i in range(40)]
+    schema = "doc_id long, text string, lang string"
+    without = langid.train_dictionaries(spark.createDataFrame(rows, schema))
+    model = langid.train_dictionaries(spark.createDataFrame([*rows, (50, "una sola palabra", "es")], schema))
+    assert {k: model[k] for k in without} == without
+    assert len(set(map(len, model.values()))) == 1 and model["es"].endswith(b"una sola palabra")
