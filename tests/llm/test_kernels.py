@@ -230,3 +230,20 @@ def test_recall_of_a_hot_group_hides_no_other():
     assert vectors.worst_recall(true, true) == 1
     few = np.array([1] * 30 + [100] * 3)
     assert vectors.worst_recall(few, np.where(few == 1, 1, 0)) < vectors.MIN_RECALL
+
+
+def test_long_texts_are_clear_and_unknown_languages_are_not():
+    rng = np.random.default_rng(6)
+
+    def speech(letters, n, seed):
+        own = np.random.default_rng(seed)
+        vocabulary = ["".join(own.choice(list(letters), own.integers(2, 9))) for _ in range(2000)]
+        return " ".join(vocabulary[k] for k in np.minimum(rng.zipf(1.3, n) - 1, 1999))
+
+    known = [("a", "abcdefghiklmnoprstu", 1), ("b", "abcdefghiklmnoprstu", 2), ("c", "abcdefghiklmnoprstu", 3)]
+    c = langid._compressors(tuple((k, langid.normal(speech(x, 30_000, seed))[-100_000:]) for k, x, seed in known), langid.LEVEL)
+    passage = speech(*known[1][1:2], 400, known[1][2])
+    once, often = langid.classify(passage, c), langid.classify(" ".join([passage] * 200), c)
+    assert once[0] == often[0] == "b" and not once[3] and not often[3]
+    alien = [langid.classify(speech("abcdefghiklmnoprstuvwxyz", int(n), 50 + k), c)[3] for k, n in enumerate(rng.integers(60, 200, 30))]
+    assert np.mean(alien) > 0.9
