@@ -1,4 +1,4 @@
-"""Shipping the package to Python workers."""
+"""What Python workers need: the package itself, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,12 +10,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
+#: Bytes of an Arrow batch, unless the session's settings say otherwise: a worker holds a batch at a time.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the repository isn't on their path."""
+    """Let Python workers import this package even if the repository isn't on their path, and bound the session's
+    Arrow batches where its settings don't: long texts then can't fill a worker's memory."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     if sc.applicationId in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
     _shipped.add(sc.applicationId)
