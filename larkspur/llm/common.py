@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-__all__ = ["Scratch", "crc32_mod", "shared_dir", "ship", "table", "with_ids"]
+__all__ = ["Scratch", "crc32_mod", "sent_if_small", "shared_dir", "ship", "table", "with_ids"]
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) is a fresh local folder made and set."""
+    Only where that is unset and all of Spark runs on this machine (tests, a laptop) is a fresh local folder made
+    and set; a cluster without the setting is an error, as its executors share no local folder."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
     if conf:
@@ -24,12 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-#: Up to so many ids (8 bytes each) are sent to all tasks; beyond, both sides are shuffled.
+#: Up to so many ids (8 bytes each, some 20 in a task's hash table) are sent to all tasks; beyond, both sides
+#: are shuffled.
 ID_LIMIT = 2_000_000
+#: The same for rows of a few numbers, which take 100 to 150 bytes each in a hash table.
+ROW_LIMIT = 200_000
 
 
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -38,6 +44,12 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(F.broadcast(ids) if ids.count() <= ID_LIMIT else ids, key, how)
 
 
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked to be sent to all tasks if counting shows that it is small. The
+    larger side of a join on a hot key then stays where it is; else Spark splits such a key's rows."""
+    return F.broadcast(rows) if rows.count() <= ROW_LIMIT else rows
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 

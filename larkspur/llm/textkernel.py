@@ -95,14 +95,14 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (ends - length), length)
 
 
-def rows_of(batches, limit: int = 2 << 20):
-    """The batches, cut so that none has more than about ``limit`` bytes of text (one row at least)."""
+def rows_of(batches, limit: int = 2 << 20, text=lambda b: b.column(b.schema.get_field_index("text"))):
+    """The batches, cut so that none has more than about ``limit`` bytes of text (one row at least). ``text``
+    gives a batch's text column."""
     for b in batches:
-        k = b.schema.get_field_index("text")
         n = b.num_rows
         if not n:
             continue
-        _, off = texts(b.column(k))
+        _, off = texts(text(b))
         at = 0
         while at < n:
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
