@@ -110,31 +110,38 @@ class Writer:
 
 
 class Reader:
-    """An archive's bytes by its seek table and index. Truncated or foreign data raise ValueError."""
-
-    def __init__(self, data: bytes):
-        self.data = data
-        if len(data) < 17:
+    """An archive, in memory or an open file, by its seek table and index: the tables and then single frames are
+    read, never the whole. Truncated or foreign data raise ValueError."""
+
+    def __init__(self, source: bytes | pa.NativeFile):
+        held = isinstance(source, bytes)
+        self.read = (lambda n, at: source[at : at + n]) if held else source.read_at
+        end = len(source) if held else source.size()
+        if end < 17:
+            raise ValueError("no seek table")
+        n, flags, magic = struct.unpack("<IBI", self.read(9, end - 9))
+        at = end - 9 - 8 * n - 8
+        if magic != SEEKABLE_MAGIC or flags or at < 0:
             raise ValueError("no seek table")
-        n, flags, magic = struct.unpack_from("<IBI", data, len(data) - 9)
-        at = len(data) - 9 - 8 * n - 8
-        if magic != SEEKABLE_MAGIC or flags or at < 0 or struct.unpack_from("<II", data, at) != (SKIPPABLE_SEEK, 8 * n + 9):
+        table = self.read(8 + 8 * n, at)
+        if struct.unpack_from("<II", table) != (SKIPPABLE_SEEK, 8 * n + 9):
             raise ValueError("no seek table")
-        sizes = [struct.unpack_from("<II", data, at + 8 + 8 * k) for k in range(n)]
         self.frames, start = [], 0
-        for packed, plain in sizes:
+        for packed, plain in struct.iter_unpack("<II", table[8:]):
             self.frames.append((start, packed, plain))
             start += packed
-        kind, size = struct.unpack_from("<II", data, start)
-        if kind != SKIPPABLE_INDEX or start + 8 + size != at:
+        if start + 8 > at:
             raise ValueError("no record index")
-        self.index = [tuple(x) for x in json.loads(zstandard.decompress(data[start + 8 : at]))]
+        index = self.read(at - start, start)
+        if struct.unpack_from("<II", index) != (SKIPPABLE_INDEX, len(index) - 8):
+            raise ValueError("no record index")
+        self.index = [tuple(x) for x in json.loads(zstandard.decompress(index[8:]))]
         self.unzip, self.cached = zstandard.ZstdDecompressor(), (-1, b"")
 
     def frame(self, k: int) -> bytes:
         if self.cached[0] != k:
             start, packed, plain = self.frames[k]
-            out = self.unzip.decompress(self.data[start : start + packed], max_output_size=plain)
+            out = self.unzip.decompress(self.read(packed, start), max_output_size=plain)
             if len(out) != plain:
                 raise ValueError("a frame's size is wrong")
             self.cached = (k, out)
@@ -180,9 +187,10 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, frame_by
     archive, page_id, record_id, frame, offset (in the decompressed frame), length.
 
     A null html is an empty payload; a null url is left out of the record. A page without page_id never is an
-    original. Repeated rows give repeated records. Each partition writes its own archives, each under another
-    name first and then moved into place, so a task that is run again replaces what it left; archives are
-    cut at about ``archive_bytes``. ``folder`` must be one that all executors share."""
+    original. Repeated rows give repeated records. Each task writes archives of its own, cut at about
+    ``archive_bytes``, whose names hold the attempt's number. Write the index to a table: an archive counts only
+    if that names it, so what failed, repeated or slow attempts left behind is never read. ``folder`` must be one
+    that all executors share."""
     ship(pages.sparkSession)
 
     def run(batches):
@@ -194,15 +202,12 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, frame_by
 
         def close():
             nonlocal writer, ids, n
-            writer.flush()
-            name = f"part-{context.partitionId():06d}-{n:04d}.warc.zst"
-            draft = f"{root}/_{name}.{context.taskAttemptId()}"
-            with store.open_output_stream(draft) as out:
+            name = f"part-{context.partitionId():06d}-{n:04d}-{context.taskAttemptId()}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(writer.finish())
-            store.move(draft, f"{root}/{name}")
             rows = [(name, p, *x) for p, x in zip(ids, writer.index)]
             writer, ids, n = Writer(frame_bytes), [], n + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow(INDEX))], names=INDEX.names)
+            return _batch(rows, INDEX)
 
         for b in batches:
             for page, url, payload, original in zip(*(b.column(k).to_pylist() for k in range(4))):
@@ -223,51 +228,61 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of the archives in ``folder``, each fetched by its index entry. Payloads of responses are
-    checked against their digests. A revisit has no payload; its digest and payload_bytes are the original's."""
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow(schema))], names=schema.names)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A row an archive, each in a task of its own as long as there are no more than some thousands."""
+    return rows.repartition(max(1, min(rows.count(), 1 << 14)))
+
+
+def read_archives(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+    """All records of the archives in ``folder`` that ``index`` (a written table) names, each fetched by its
+    archive's own index, frame by frame. Payloads of responses are checked against their digests. A revisit has
+    no payload; its digest and payload_bytes are the original's. An empty index gives no rows."""
     ship(spark)
 
     def run(batches):
+        store, root = _store(folder)
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
-                reader, rows = Reader(data.as_py()), []
-                name = path.rsplit("/", 1)[1]
-                for key, frame, offset, length in reader.index:
-                    r = parse(reader.record(frame, offset, length))
-                    if r["WARC-Record-ID"] != key:
-                        raise ValueError("the index names another record")
-                    sha = r["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if r["payload"] is not None and (digest(r["payload"]) != sha or len(r["payload"]) != r["payload_bytes"]):
-                        raise ValueError("a payload doesn't fit its digest")
-                    refers = page_of(r["WARC-Refers-To"]) if "WARC-Refers-To" in r else None
-                    rows.append((page_of(key), key, r["WARC-Type"], r.get("WARC-Target-URI"), sha, r["payload_bytes"], refers, r["payload"], name, frame, offset, length))
-                    if len(rows) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow(RECORDS))], names=RECORDS.names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow(RECORDS))], names=RECORDS.names)
-
-    # an archive is one row here: a batch holds one, so a worker's memory is bounded by an archive's size
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder)
-    return files.select("path", "content").mapInArrow(run, RECORDS)
+            for name in b.column(0).to_pylist():
+                with store.open_input_file(f"{root}/{name}") as file:
+                    reader, rows = Reader(file), []
+                    for key, frame, offset, length in reader.index:
+                        r = parse(reader.record(frame, offset, length))
+                        if r["WARC-Record-ID"] != key:
+                            raise ValueError("the index names another record")
+                        sha = r["WARC-Payload-Digest"].removeprefix("sha1:")
+                        if r["payload"] is not None and (digest(r["payload"]) != sha or len(r["payload"]) != r["payload_bytes"]):
+                            raise ValueError("a payload doesn't fit its digest")
+                        refers = page_of(r["WARC-Refers-To"]) if "WARC-Refers-To" in r else None
+                        rows.append((page_of(key), key, r["WARC-Type"], r.get("WARC-Target-URI"), sha, r["payload_bytes"], refers, r["payload"], name, frame, offset, length))
+                        if len(rows) >= 2000 or reader.cached[0] != frame:
+                            yield _batch(rows, RECORDS)
+                            rows = []
+                    if rows:
+                        yield _batch(rows, RECORDS)
+
+    return _dealt(index.select("archive").distinct()).mapInArrow(run, RECORDS)
 
 
 def fetch_records(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """The raw WARC records (archive, record_id, record) of index entries ``wanted``: frames without a wanted
-    record aren't decompressed."""
+    """The raw WARC records (archive, record_id, record) of index entries ``wanted``. Of an archive only its tables
+    and the frames with a wanted record are read. An archive is bounded, and so are its entries."""
     ship(spark)
-    entries = wanted.groupBy("archive").agg(F.collect_list(F.struct("record_id", "frame", "offset", "length")).alias("entries"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
+    entries = wanted.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length", "record_id"))).alias("entries"))
 
     def run(batches):
+        store, root = _store(folder)
         for b in batches:
-            for name, data, entries in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                reader = Reader(data.as_py())
-                got = sorted(entries, key=lambda e: (e["frame"], e["offset"]))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got)), pa.array([e["record_id"] for e in got]), pa.array([reader.record(e["frame"], e["offset"], e["length"]) for e in got], pa.binary())], names=["archive", "record_id", "record"])
+            for name, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with store.open_input_file(f"{root}/{name}") as file:
+                    reader = Reader(file)
+                    for e in entries:
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([e["record_id"]]), pa.array([reader.record(e["frame"], e["offset"], e["length"])], pa.binary())], names=["archive", "record_id", "record"])
 
-    return files.join(entries, "archive").select("archive", "content", "entries").mapInArrow(run, "archive string, record_id string, record binary")
+    return _dealt(entries).mapInArrow(run, "archive string, record_id string, record binary")
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -282,5 +297,20 @@ def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """Writes all pages to archives in a new shared folder and reads the archives back."""
     spark = pages.sparkSession
     folder = archive_folder(spark)
-    Scratch(spark, "warc").table(write_archives(pages, folder, min_revisit), "index")
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, Scratch(spark, "warc").table(write_archives(pages, folder, min_revisit), "index"))
+
+
+def _base32_sql(sha: str) -> str:
+    """Bare upper-case base32 of 40 hexadecimal digits, in DuckDB: five digits are four letters."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> {0}) & 31)::INTEGER + 1, 1)"
+    four = " || ".join(letter.format(k) for k in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(list_transform(range(0, 8), lambda i: ('0x' || substr({sha}, (5 * i + 1)::INTEGER, 5))::BIGINT), lambda x: {four}), '')"
+
+
+#: What a round trip of ``pages`` gives, for DuckDB.
+ROUND_TRIP_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, payload, sha1(payload) AS sha, min(page_id) OVER (PARTITION BY payload) AS original FROM p)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, {_base32_sql("sha")} AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to FROM d
+"""
