@@ -31,8 +31,9 @@ from .common import Scratch, ship
 from .components import connected_components
 
 SHARD, BLOCK, MAX_CENTRES = 1000, 4096, 4096
-#: Vectors that the centres are fitted on, and that recall is audited on, at most.
-SAMPLE, AUDIT = 16384, 1024
+#: Vectors that the centres are fitted on, and that recall is audited on, at most; where the audited vectors have
+#: no links, others are audited, up to AUDIT_MORE in all.
+SAMPLE, AUDIT, AUDIT_MORE = 16384, 1024, 8192
 #: Audited vectors that a recall by number of links is taken over, at least.
 STRATUM = 8
 OVERLAP, MORE_PROBES, MIN_RECALL, ROUNDS = 2, 1, 0.98, 3
@@ -204,8 +205,9 @@ def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 @dataclass
 class Found:
     """rows: vec_id, n_links, component_id, kept. links: a < b of class representatives, and copies of each.
-    recall: the least of the audited vectors' mean and of the means by number of links, None if the audit saw no
-    links; 1.0 if compared exactly. overlap: shards of a vector in the last build, 0 if compared exactly."""
+    recall: the least of the audited vectors' mean and of the means by number of links, None if AUDIT_MORE vectors
+    (or all there are) have no links; 1.0 if compared exactly. overlap: shards of a vector in the last build, 0 if
+    compared exactly."""
 
     rows: DataFrame
     links: DataFrame
@@ -334,21 +336,30 @@ def worst_recall(true: np.ndarray, hit: np.ndarray) -> float:
 
 
 def _audit(classes: DataFrame, dim: int, pairs: DataFrame, least: float) -> float | None:
-    """``worst_recall`` of ``pairs`` for a bounded set of vectors, by comparing the set with all rows in blocks."""
-    picked = classes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(AUDIT).select("id", "embedding").toArrow()
+    """``worst_recall`` of ``pairs`` for a bounded set of vectors."""
+    size, n = AUDIT, classes.count()
+    while (recall := _audited(classes, dim, pairs, least, size)) is None and size < min(n, AUDIT_MORE):
+        size *= 8
+    return recall
+
+
+def _audited(classes: DataFrame, dim: int, pairs: DataFrame, least: float, size: int) -> float | None:
+    """``worst_recall`` of ``pairs`` for ``size`` vectors, by comparing them with all rows in blocks."""
+    picked = classes.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(size).select("id", "embedding").toArrow()
     if not picked.num_rows:
         return None
     ids, q = picked["id"].to_numpy(), unit(_matrix(picked["embedding"], dim))
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 i, j = np.nonzero(q @ unit(_matrix(b.column(1), dim)).T >= least)
                 x, y = ids[i], b.column(0).to_numpy()[j]
                 yield pa.RecordBatch.from_arrays([pa.array(c[x != y]) for c in (x, np.minimum(x, y), np.maximum(x, y))], names=["id", "a", "b"])
 
     true = classes.select("id", "embedding").mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), *PAIRS.fields]))
-    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).collect()  # AUDIT rows at most
+    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit")).collect()  # a row an audited vector at most
     return worst_recall(np.array([r.n for r in got]), np.array([r.hit for r in got])) if got else None
 
 
@@ -392,3 +403,16 @@ def vector_near_duplicates(vectors: DataFrame, least: float = 0.95) -> Found:
     component = F.coalesce("component", "id", "vec_id")
     rows = out.select("vec_id", (F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
     return Found(rows, pairs, recall, overlap)
+
+
+#: The same for DuckDB, by comparing all vectors.
+VECTORS_SQL = """
+WITH RECURSIVE ok AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM ok),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.root = l.a),
+c AS (SELECT vec_id, min(root) AS component FROM r GROUP BY 1), d AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component = vec_id, true) AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN d USING (vec_id)
+"""
