@@ -1,15 +1,17 @@
 """A hidden Markov language model, trained by Baum-Welch over all training documents.
 
 Words are emitted through classes: a state emits a class, the class a word in proportion to its training
-count. The most frequent words are classes of their own, the others share a class by their last bytes, so
-the model's size is bounded while word counts (and only they) grow with the corpus. Words never seen are
-one outcome, whose mass is the share of training tokens seen once (Good and Turing's estimate).
+count. Frequent words (OWN_CLASSES at most, so more of them the larger the vocabulary, up to that number) are
+classes of their own, the others share a class by their last bytes; word counts are exact and grow with the
+corpus. Words never seen are one outcome, whose mass is the share of training tokens seen once (Good and
+Turing's estimate).
 
 Documents are cut into blocks, coded once (tokens as positions in the block's own vocabulary) and written;
-later passes read codes only. Word counts are summed by a shuffle, and each block gets back the counts of
-its own vocabulary by a second one, packed: no vocabulary is broadcast or collected. A Baum-Welch pass sums expected
-counts in each task and then by class in a shuffle; the driver sees one row a class. Likelihoods are exact:
-scaled forward recursion over whole documents, many side by side."""
+later passes read codes only. Word counts are summed by a shuffle with partial sums. Counts of the frequent
+words, a bounded table, go to all tasks; each block gets back those of its other words by a second shuffle,
+packed, so no word has a row for each block. A Baum-Welch pass sums expected counts in each task and then by
+class in a shuffle; the driver sees one row a class. Passes go on until the likelihood hardly rises.
+Likelihoods are exact: scaled forward recursion over whole documents, many side by side."""
 
 from __future__ import annotations
 
@@ -19,23 +21,41 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, ship
 from .textkernel import hash_spans, ragged, rows_of, texts, words
 
-STATES, OWN_CLASSES, SUFFIX_CLASSES = 8, 8192, 2048
-#: Passes over all training documents; before them the start is found on SAMPLE documents at most, of which
-#: SAMPLE_TOKENS tokens at most.
-PASSES, SAMPLE, SAMPLE_TOKENS, SAMPLE_PASSES = 2, 400, 2048, 12
+STATES, OWN_CLASSES, SUFFIX_CLASSES = 8, 32768, 2048
+#: Passes over all training documents, at most, and the rise of the log likelihood of a token (in nats) that is
+#: worth another one.
+PASSES, RISE = 3, 0.05
+#: The start is found on whole documents: SAMPLE at most, and none after SAMPLE_TOKENS tokens; documents of more
+#: than SAMPLE_LONG tokens only if there are no shorter ones.
+SAMPLE, SAMPLE_TOKENS, SAMPLE_LONG, SAMPLE_PASSES = 400, 1_000_000, 65_536, 12
 #: Pseudo-tokens of the unigram distribution in each state's emissions, and of each transition.
 PRIOR, PRIOR_MOVE = 100.0, 1.0
 BLOCK_BYTES, CHUNK_TOKENS = 8 << 20, 400_000
 END = np.uint64(0x5EED0FE11D0C5EED)
 _END_SUFFIX = SUFFIX_CLASSES
 
+@dataclass
+class Frequent:
+    """The most frequent words, by hash, and their corpus counts."""
+
+    words: np.ndarray  # ascending
+    counts: np.ndarray
+
+    def place(self, word: np.ndarray) -> np.ndarray:
+        """Where each word stands here, or -1."""
+        if not len(self.words):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[at] == word, at, -1)
+
+
 BLOCKS = T.StructType([
     T.StructField("block", T.LongType()), T.StructField("doc_id", T.ArrayType(T.LongType())), T.StructField("train", T.ArrayType(T.BooleanType())),
     T.StructField("length", T.BinaryType()), T.StructField("tokens", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("suffix", T.BinaryType()), T.StructField("counts", T.BinaryType()),
@@ -96,28 +116,29 @@ def coded(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_rows(blocks: DataFrame) -> DataFrame:
-    """(word, suffix, block, at, n): each block's words with their counts in its training documents."""
+    """(word, suffix, n): each block's words with their counts in its training documents, where there are any."""
 
     def run(batches):
         for b in batches:
-            for block, w, s, n in zip(*(c.to_pylist() for c in b.columns)):
-                w = np.frombuffer(w, "<i8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w), pa.array(np.frombuffer(s, "<u2").astype(np.int32)), pa.array(np.full(len(w), block)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(unpack(n, 4))],
-                    names=["word", "suffix", "block", "at", "n"],
-                )
+            for w, s, n in zip(*(c.to_pylist() for c in b.columns)):
+                n = unpack(n, 4)
+                has = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, "<i8")[has]), pa.array(np.frombuffer(s, "<u2").astype(np.int32)[has]), pa.array(n[has])], names=["word", "suffix", "n"])
+
+    return blocks.select("words", "suffix", "counts").mapInArrow(run, "word long, suffix int, n long")
+
 
-    return blocks.select("block", "words", "suffix", "counts").mapInArrow(run, "word long, suffix int, block long, at int, n long")
+def other_words(blocks: DataFrame, frequent: Frequent) -> DataFrame:
+    """(block, at, word): where a block's vocabulary has words that aren't ``frequent``."""
 
+    def run(batches):
+        for b in batches:
+            for block, w in zip(*(c.to_pylist() for c in b.columns)):
+                w = np.frombuffer(w, "<u8")
+                at = np.flatnonzero(frequent.place(w) < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block)), pa.array(at.astype(np.int32)), pa.array(w[at].view(np.int64))], names=["block", "at", "word"])
 
-def with_counts(rows: DataFrame) -> DataFrame:
-    """(block, at, c, word, suffix): the corpus count of each block's words that training documents have;
-    word and suffix stand in one row of each word only. One shuffle by word; a word has a row a block, and
-    sums over it spill."""
-    every = Window.partitionBy("word")
-    first = F.row_number().over(every.orderBy("block")) == 1
-    found = rows.withColumn("first", first).withColumn("c", F.sum("n").over(every.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return found.where("c > 0").select("block", "at", "c", F.when(F.col("first"), F.col("word")).alias("word"), F.when(F.col("first"), F.col("suffix")).alias("suffix"))
+    return blocks.select("block", "words").mapInArrow(run, "block long, at int, word long")
 
 
 def packed_counts(counted: DataFrame) -> DataFrame:
@@ -146,8 +167,7 @@ def packed_counts(counted: DataFrame) -> DataFrame:
 class Classes:
     """How words map to classes, and the totals that turn counts into probabilities."""
 
-    own: np.ndarray  # hashes of the words that are classes of their own, ascending
-    rank: np.ndarray  # their classes
+    frequent: Frequent  # words that are classes of their own, numbered as they stand there
     total: np.ndarray  # training tokens of each class
     tokens: int
     types: int
@@ -158,11 +178,8 @@ class Classes:
         return len(self.total)  # the last class is the unseen outcome
 
     def of(self, word: np.ndarray, suffix: np.ndarray, count: np.ndarray) -> np.ndarray:
-        out = len(self.own) + suffix.astype(np.int64)
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, word), len(self.own) - 1)
-            hit = self.own[at] == word
-            out[hit] = self.rank[at[hit]]
+        own = self.frequent.place(word)
+        out = np.where(own >= 0, own, len(self.frequent.words) + suffix.astype(np.int64))
         out[count == 0] = self.n - 1
         return out
 
@@ -265,22 +282,29 @@ def starting_model(cls: np.ndarray, lengths: np.ndarray, classes: Classes, state
 
 
 def fit_classes(counts: DataFrame, own_classes: int = OWN_CLASSES) -> Classes:
-    """Classes and totals from ``counts`` (word, suffix, c: above 0). Collects at most ``own_classes`` words and a row
-    a suffix class."""
+    """Classes and totals from ``counts`` (word, suffix, c: above 0). A histogram of the counts tells from which
+    count on words are frequent, ``own_classes`` at most; only these and a row a suffix class are collected."""
     t = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     n, v, once = t.n or 0, t.v, t.once
-    top = counts.orderBy(F.desc("c"), "word").limit(own_classes).collect()
+    step = F.floor(F.log2("c") * 16)  # less than a thousand steps
+    held, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v"), F.min("c").alias("c")).collect(), key=lambda r: -r.step):
+        held += r.v
+        if held > own_classes:
+            break
+        least = r.c
+    top = counts.where(F.col("c") >= least).select("word", "suffix", "c").collect() if least else []
     sums = {r.suffix: r.c for r in counts.groupBy("suffix").agg(F.sum("c").alias("c")).collect()}
+    words_, c = np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64)
+    order = np.argsort(words_)
     total = np.zeros(len(top) + SUFFIX_CLASSES + 2)
-    for k, r in enumerate(top):
-        total[k] = r.c
+    total[: len(top)] = c[order]
+    for r in top:
         sums[r.suffix] -= r.c
-    for suffix, c in sums.items():
-        total[len(top) + suffix] = c
-    words_ = np.array([r.word for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words_)
-    least = 0.1 / (n + 0.1 * (v + 1))
-    return Classes(words_[order], order, total, n, v, 1.0 if not n else min(0.5, max(once / n, least)))
+    for suffix, c_ in sums.items():
+        total[len(top) + suffix] = c_
+    floor = 0.1 / (n + 0.1 * (v + 1))
+    return Classes(Frequent(words_[order], c[order]), total, n, v, 1.0 if not n else min(0.5, max(once / n, floor)))
 
 
 CODES = T.StructType([
@@ -290,13 +314,15 @@ CODES = T.StructType([
 
 
 def classified(blocks: DataFrame, looked_up: DataFrame, classes: Classes) -> DataFrame:
-    """Blocks with the class and the corpus count of each word of their vocabulary."""
+    """Blocks with the class and the corpus count of each word of their vocabulary; ``looked_up`` has the counts of
+    the words that aren't frequent."""
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], _arrow(CODES))
         word = np.frombuffer(left["words"][0].as_py(), "<u8")
-        count = np.zeros(len(word), np.int64)
+        own = classes.frequent.place(word)
+        count = np.where(own >= 0, np.append(classes.frequent.counts, 0)[own], 0)
         for data in right["data"].to_pylist():
             at, c = unpack(data, 8).reshape(2, -1)
             count[np.cumsum(at)] = c
@@ -320,14 +346,15 @@ def _sequences(b: pa.RecordBatch, k: int):
     return get("length", 4), get("tokens", 4), get("class", 4), get("count", 8)
 
 
-def baum_welch_pass(codes: DataFrame, model: Model, classes: Classes) -> Model:
-    """One pass over all training documents of ``codes``."""
+def baum_welch_pass(codes: DataFrame, model: Model, classes: Classes) -> tuple[Model, float]:
+    """The next model by one pass over all training documents of ``codes``, and the log likelihood of a training
+    token under ``model``, in nats."""
     s = len(model.start)
     names = [f"s{k}" for k in range(s)]
     schema = T.StructType([T.StructField("key", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in names)])
 
     def run(batches):
-        start, move, emit, any_ = np.zeros(s), np.zeros((s, s)), np.zeros((classes.n, s)), False
+        start, move, emit, total, any_ = np.zeros(s), np.zeros((s, s)), np.zeros((classes.n, s)), 0.0, False
         for b in batches:
             for k in range(b.num_rows):
                 lengths, tokens, cls, _ = _sequences(b, k)
@@ -335,19 +362,20 @@ def baum_welch_pass(codes: DataFrame, model: Model, classes: Classes) -> Model:
                 if not len(use):
                     continue
                 mine = cls[tokens[ragged((np.cumsum(lengths) - lengths)[use], lengths[use])]]
-                x, y, z, _ = expected(model, mine, lengths[use], classes.n)
-                start, move, emit, any_ = start + x, move + y, emit + z, True
+                x, y, z, one = expected(model, mine, lengths[use], classes.n)
+                start, move, total, any_ = start + x, move + y, total + one, True
+                emit += z
         if any_:
             seen = np.flatnonzero(emit.any(1))
-            rows = np.concatenate([start[None], move, emit[seen]])
-            key = np.concatenate([[-1], -2 - np.arange(s), seen])
+            rows = np.concatenate([np.full((1, s), total), start[None], move, emit[seen]])
+            key = np.concatenate([[-1], [-2], -3 - np.arange(s), seen])
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(s))], names=schema.names)
 
     got = codes.mapInArrow(run, schema).groupBy("key").agg(*(F.sum(x).alias(x) for x in names)).collect()
-    start, move, emit = np.zeros(s), np.zeros((s, s)), np.zeros((classes.n, s))
+    total, start, move, emit = np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((classes.n, s))
     for key, *x in got:
-        (emit[key] if key >= 0 else start if key == -1 else move[-2 - key])[:] = x
-    return updated(start, move, emit, classes)
+        (emit[key] if key >= 0 else total if key == -1 else start if key == -2 else move[-3 - key])[:] = x
+    return updated(start, move, emit, classes), float(total[0]) / max(classes.tokens, 1)
 
 
 SCORES = T.StructType([
@@ -382,25 +410,67 @@ def scored(codes: DataFrame, model: Model, classes: Classes) -> DataFrame:
     return codes.mapInArrow(run, SCORES)
 
 
-def _sample(codes: DataFrame, classes: Classes, docs: int, tokens_each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Class sequences of at most ``docs`` training documents, those with the smallest hashed ids."""
-    ids = codes.select(F.explode(F.arrays_zip("doc_id", "train")).alias("x")).where("x.train").select(F.col("x.doc_id").alias("id"))
-    held = {r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(docs).collect()}
+def _sample(codes: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Class sequences of whole training documents, those with the smallest hashed ids within the sample's bounds."""
+
+    def sizes(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                use = np.array(b.column(b.schema.get_field_index("train"))[k].as_py(), bool)
+                ids = b.column(b.schema.get_field_index("doc_id"))[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, u in zip(ids, use) if u], pa.int64()), pa.array(unpack(b.column(b.schema.get_field_index("length"))[k].as_py(), 4)[use])], names=["id", "n"])
+
+    few = codes.mapInArrow(sizes, "id long, n long").orderBy(F.col("n") > SAMPLE_LONG, F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    before = np.cumsum([r.n for r in few]) - [r.n for r in few] if few else []
+    held = {r.id for r, x in zip(few, before) if x < SAMPLE_TOKENS and (r.n <= SAMPLE_LONG or not x)}
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
+                wanted = [d for d, (i, t) in enumerate(zip(*(b.column(b.schema.get_field_index(c))[k].as_py() for c in ("doc_id", "train")))) if t and i in held]
+                if not wanted:
+                    continue
                 lengths, tokens, cls, _ = _sequences(b, k)
                 first = np.cumsum(lengths) - lengths
-                for d, i in enumerate(b.column(b.schema.get_field_index("doc_id"))[k].as_py()):
-                    if i in held:
-                        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([cls[tokens[first[d] : first[d] + min(lengths[d], tokens_each)]].astype("<i4").tobytes()], pa.binary())], names=["doc_id", "classes"])
+                for d in wanted:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(b.schema.get_field_index("doc_id"))[k][d].as_py()]), pa.array([cls[tokens[first[d] : first[d] + lengths[d]]].astype("<i4").tobytes()], pa.binary())], names=["doc_id", "classes"])
 
-    got = sorted(codes.mapInArrow(run, "doc_id long, classes binary").limit(docs).collect(), key=lambda r: (r.doc_id, r.classes))
+    got = sorted(codes.mapInArrow(run, "doc_id long, classes binary").collect(), key=lambda r: (r.doc_id, r.classes)) if held else []
     seqs = [np.frombuffer(r.classes, "<i4") for r in got]
     return np.concatenate(seqs) if seqs else np.zeros(0, np.int32), np.array([len(x) for x in seqs], np.int64)
 
 
+@dataclass
+class Fitted:
+    """All documents' codes, the classes, the model, and the log likelihood of a training token before each pass."""
+
+    codes: DataFrame
+    classes: Classes
+    model: Model
+    likelihoods: list[float]
+
+
+def fit_hmm(docs: DataFrame, train: Column, states: int = STATES, passes: int = PASSES, rise: float = RISE) -> Fitted:
+    """The model of the rows of ``docs`` (doc_id, text) where ``train`` holds, and the codes of all rows."""
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "hmm")
+    use = F.coalesce(train & F.col("doc_id").isNotNull(), F.lit(False))
+    blocks = scratch.table(coded(docs.select("doc_id", "text", use.alias("train"))), "blocks")
+    counts = scratch.table(vocabulary_rows(blocks).groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("c")), "counts")
+    classes = fit_classes(counts)
+    looked_up = packed_counts(other_words(blocks, classes.frequent).join(counts.select("word", "c"), "word"))
+    codes = scratch.table(classified(blocks, looked_up, classes), "codes")
+    scratch.drop(blocks, counts)
+    model, seen = starting_model(*_sample(codes, classes), classes, states), []
+    for _ in range(passes):
+        model, one = baum_welch_pass(codes, model, classes)
+        seen.append(one)
+        if len(seen) > 1 and seen[-1] - seen[-2] < rise:
+            break
+    return Fitted(codes, classes, model, seen)
+
+
 def hmm_scores(docs: DataFrame, train: Column, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text) by a model of the rows where ``train`` holds.
 
@@ -409,16 +479,5 @@ def hmm_scores(docs: DataFrame, train: Column, states: int = STATES, passes: int
     (log10 of the exact likelihood). A null text is empty: one end. Rows without a doc_id are scored but never
     trained on; repeated rows are scored, and trained on, each; an empty training set leaves one outcome of
     probability 1; an empty table gives no rows."""
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "hmm")
-    use = F.coalesce(train & F.col("doc_id").isNotNull(), F.lit(False))
-    blocks = scratch.table(coded(docs.select("doc_id", "text", use.alias("train"))), "blocks")
-    counted = scratch.table(with_counts(vocabulary_rows(blocks)), "counts")
-    classes = fit_classes(counted.where("word is not null").select("word", "suffix", "c"))
-    codes = scratch.table(classified(blocks, packed_counts(counted), classes), "codes")
-    scratch.drop(blocks, counted)
-    model = starting_model(*_sample(codes, classes, SAMPLE, SAMPLE_TOKENS), classes, states)
-    for _ in range(passes):
-        model = baum_welch_pass(codes, model, classes)
-    return scored(codes, model, classes)
+    f = fit_hmm(docs, train, states, passes)
+    return scored(f.codes, f.model, f.classes)
