@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, sent_if_small, ship
 from .textkernel import rows_of, texts
 
 
@@ -113,9 +113,6 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-#: Up to so many rows (of 24 bytes) the ranks of blocks are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("block", T.LongType()), T.StructField("local_rank", T.LongType()),
@@ -181,12 +178,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int
     scratch = Scratch(spark, "pack")
     pieces = scratch.table(tokenized_pieces(docs, vocabulary, pattern, capacity, end_id, special), "pieces")
     # counts of each block and length: far fewer than pieces; ranks of blocks are running sums within a length
-    counts = pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.table(pieces.groupBy("block", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     plan = plan_packing({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    before = block_offsets(counts := scratch.table(counts, "counts"))
-    # blocks times lengths, known before the join: small enough to send, or else shuffled by Spark
-    if counts.count() <= BROADCAST_ROWS:
-        before = F.broadcast(before)
+    # a row a block and length: sent if few, else both sides are shuffled by block and length
+    before = sent_if_small(scratch.table(block_offsets(counts), "before"))
     steps = [(n, *x) for n, xs in plan.places.items() for x in xs]
     length = np.array([x[0] for x in steps], np.int64)
     rank, first, place = (np.array([x[k] for x in steps], np.int64) for k in (1, 2, 3))
