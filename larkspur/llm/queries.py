@@ -12,12 +12,12 @@ from .chat import FORMAT_CHATS_SQL, format_chats
 from .common import crc32_mod, table
 from .hmm import hmm_scores
 from .langid import identify, train_dictionaries
-from .minhash import minhash_near_duplicates
+from .minhash import MINHASH_SQL, minhash_near_duplicates
 from .packing import pack_documents
-from .quality import quality_rules
+from .quality import QUALITY_RULES_SQL, quality_rules
 from .tokencount import token_counts
-from .vectors import vector_near_duplicates
-from .warc import round_trip
+from .vectors import VECTORS_SQL, vector_near_duplicates
+from .warc import ROUND_TRIP_SQL, round_trip
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -40,7 +40,7 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("policy", F.lit(0)).alias("policy"), "kept")
 
 
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,4 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_quality_rules": op4_quality_rules, "op5_bpe_codec": op5_bpe_codec, "op6_token_counts": op6_token_counts,
     "op7_warc_bundles": op7_warc_bundles, "op8_language_id": op8_language_id, "op9_hmm_scoring": op9_hmm_scoring, "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op10_chat_format": FORMAT_CHATS_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_near_dedup": MINHASH_SQL, "op3_embedding_near_dedup": VECTORS_SQL, "op4_quality_rules": QUALITY_RULES_SQL, "op7_warc_bundles": ROUND_TRIP_SQL, "op10_chat_format": FORMAT_CHATS_SQL}

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 import zlib
 from bisect import insort
 from functools import lru_cache
@@ -179,7 +180,7 @@ def test_compare_gives_a_spanning_forest_of_all_links():
     sets = [np.unique(np.array(base[: 60 - k] + [rnd.randrange(2**60) for _ in range(k)], np.uint64)) for k in (0, 3, 5, 6, 7, 9, 30, 60)]
     at = np.concatenate([[0], np.cumsum(list(map(len, sets)))])
     sig = minhash.signatures(np.concatenate(sets), at).view(np.int32)
-    t = pa.table({"id": range(8), "component": range(8), "n": list(map(len, sets)), "mine": [0] * 8, "signature": list(sig), "shingles": [s.view(np.int64) for s in sets]})
+    t = pa.table({"id": range(8), "component": range(8), "n": list(map(len, sets)), "asks": pa.nulls(8, pa.bool_()), "signature": list(sig), "shingles": [s.view(np.int64) for s in sets]})
     x, y, _ = minhash._compare(t, 80, True)
     true = {(a, b) for a in range(8) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
 
@@ -190,6 +191,22 @@ def test_compare_gives_a_spanning_forest_of_all_links():
         return [min(k for k in range(8) if p[k] == q) for q in p]
 
     assert parts(zip(x, y)) == parts(true) and len(x) <= 7
+    # the same with the odd ones asking and all being asked
+    both = pa.concat_tables([t.set_column(3, "asks", pa.array([False] * 8)), t.set_column(3, "asks", pa.array([True] * 8)).take([1, 3, 5, 7])])
+    x, y, _ = minhash._compare(both, 80, True)
+    ids = both["id"].to_pylist()
+    odd = {(a, b) for a, b in true if a % 2 or b % 2}
+    assert parts((ids[a], ids[b]) for a, b in zip(x, y)) == parts(odd)
+
+
+def test_shingles_in_common_with_the_head():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (20, 9, 0, 15, 30, 4)]
+    at = np.concatenate([[0], np.cumsum(list(map(len, sets)))])
+    group = np.array([1, 1, 1, 2, 2, 3])  # heads: 0 and 3; the last group's head isn't here
+    known = (np.concatenate([np.full(len(sets[0]), 1), np.full(len(sets[3]), 2)]), np.concatenate([sets[0], sets[3]]))
+    got = minhash._in_common(known, group, np.concatenate(sets), at)
+    assert got.tolist() == [len(np.intersect1d(sets[h], s)) if h is not None else 0 for h, s in zip((0, 0, 0, 3, 3, None), sets)]
 
 
 def test_attribution_rules():
@@ -201,9 +218,20 @@ def test_attribution_rules():
 
 def test_language_of_odd_texts():
     c = langid._compressors((("a", b"lorem ipsum dolor sit amet " * 20), ("b", "über straße und haus " .encode() * 20)), 3)
-    assert langid.classify(None, c)[0] == langid.classify("123 !?", c)[0] == langid.classify("", c)[0] == "und"
+    for text in (None, "123 !?", "", "½ ² Ⅷ", "٣ _"):
+        assert langid.classify(text, c)[0] == "und" and langid.classify(text, c)[3]
     assert langid.classify("Haus und Straße über Haus", c)[0] == "b" and langid.classify("Lorem! DOLOR sit", c)[0] == "a"
     assert langid.classify("x", []) == ("und", 0.0, 0.0, True)
+    # ties go to the first name and are rejected
+    same = langid._compressors((("p", b"lorem ipsum"), ("q", b"lorem ipsum")), 3)
+    assert langid.classify("lorem", same)[0] == "p" and langid.classify("lorem", same)[2:] == (0.0, True)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aBÉß ½²Ⅷ٣_-\n日ñ1", max_size=30))
+def test_normal_form_keeps_letters_only(text):
+    want = "".join(x if unicodedata.category(x)[0] == "L" else " " for x in text.lower()).split()
+    assert langid.normal(text) == " ".join(want).encode()
 
 
 def test_packed_integers():

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import bpe, bpetree, chat, common, components, hmm, langid, minhash, packing, quality, tokencount, vectors, warc
+from larkspur.llm import bpe, bpetree, chat, common, components, hmm, langid, minhash, packing, quality, textkernel, tokencount, vectors, warc
 
 RANKS, PATTERN = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
 W = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "Lambda", "mu", "nu", "xi"]
@@ -62,6 +62,9 @@ def test_packing(docs, none):
     whole = {r.sequence_id: r.ids for r in packing.sequences(packing.pack_documents(docs, RANKS, PATTERN, 256, 0)).collect()}
     assert sum(map(len, whole.values())) == 4 * sum(r.length for r in got)
     assert packing.pack_documents(none, RANKS, PATTERN, 256, 0).count() == 0
+    marked = docs.limit(1).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a<|endoftext|> b").alias("text"))
+    ids = [np.frombuffer(packing.pack_documents(marked, RANKS, PATTERN, 256, 0, special=x).first().ids, "<u4").tolist() for x in ((("<|endoftext|>", 50256),), ())]
+    assert ids == [[*enc.encode_ordinary("a"), 50256, *enc.encode_ordinary(" b"), 0], [*enc.encode_ordinary("a<|endoftext|> b"), 0]]
 
 
 def shingles(t, k):
@@ -142,20 +145,87 @@ def test_quality(spark, docs, none):
     assert mine == want
     kept = quality.quality_filter(docs, labels)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in want.elements() if r[-1])
-    assert quality.quality_rules(none, labels.where("false")).count() == 0
+    assert all(r.policy is None and not r.failed_rules for r in got)
+    assert quality.quality_rules(none, labels.where("false")).count() == 0 == quality.quality_filter(none, labels).count()
 
 
-def test_cutoffs_are_certified(spark):
-    n, k, p = 4000, 5, 0.004
-    tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-    row = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p).alias("t"), quality.binomial_tail(F.lit(0), F.lit(2_000_000), 0.01).alias("z"), quality.binomial_tail(F.lit(9), F.lit(9), 0.2).alias("o")).first()
-    assert row.t == pytest.approx(tail, rel=1e-9) and row.z == pytest.approx(0, abs=1e-300) and row.o == pytest.approx(1)
-    rule = (quality.Rule("symbols", "n_symbols / greatest(word_chars, 1)", (0.5, 0.1, 0.01)),)
-    rows = [(k, 3 if k % 200 == 0 else 0) for k in range(5000)]  # one in two hundred good ones has 3 % of symbols
-    d = spark.createDataFrame([("x", True, 100, 0, 0, n, 100) for _, n in rows], "stratum string, good boolean, n_words long, n_dup_lines long, n_repeat_words long, n_symbols long, word_chars long")
-    assert [r.cutoff for r in quality.cutoffs(d, rule, risk=0.004).collect()] == [0.1]
-    assert [r.cutoff for r in quality.cutoffs(d, rule, risk=0.02).collect()] == [0.01]
-    assert quality.cutoffs(d.limit(50), rule, risk=0.004).count() == 0
+def tail(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_binomial_tail(spark):
+    row = spark.range(1).select(quality.binomial_tail(F.lit(5), F.lit(4000), 0.004).alias("t"), quality.binomial_tail(F.lit(0), F.lit(2_000_000), 0.01).alias("z"), quality.binomial_tail(F.lit(9), F.lit(9), 0.2).alias("o")).first()
+    assert row.t == pytest.approx(tail(5, 4000, 0.004), rel=1e-9) and row.z == pytest.approx(0, abs=1e-300) and row.o == pytest.approx(1)
+
+
+def rejected_by(policy, q):
+    """Whether a policy rejects measures (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) and lines."""
+    words, chars, symbols, dup, repeat, lines = q
+    values = (symbols / max(chars, 1), dup / max(lines, 1), repeat / max(words, 1), chars / max(words, 1), chars / max(words, 1))
+    return any(v > c if above else v < c for v, c, (_, _, above) in zip(values, policy, quality.RULES))
+
+
+def graded(seed, n, bad):
+    """Texts of 60 words; the ``bad`` have some symbols after their words, more and more of them."""
+    rng = np.random.default_rng(seed)
+    return [" ".join(w + "#" * (3 if k < (i % 40) and i < bad else 0) for k, w in enumerate(prose(seed * 1000 + i, 60).split())) for i in range(n)]
+
+
+def brute_verdicts(rows, labels, risk, delta):
+    """(kept, policy) of each doc_id by plain loops. rows: doc_id, text, lang; labels: doc_id to quality."""
+    measures = {i: (*brute_quality(t), len([x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\f\r")])) for i, t, _ in rows}
+    base = {i: q[0] < 50 or 100 * q[4] > 50 * q[0] for i, q in measures.items()}
+    good = {}
+    for i, _, lang in rows:
+        if labels.get(i) == 1 and not base[i]:
+            good.setdefault(lang, []).append(i)
+    strata = max(1, sum((1 - risk) ** len(g) <= delta for g in good.values()))
+    policy = {}
+    for lang, ids in good.items():
+        for number, p in enumerate(quality.POLICIES, 1):
+            k = sum(rejected_by(p, measures[i]) for i in ids)
+            if k > risk * len(ids) or tail(k, len(ids), risk) > delta / strata:
+                break
+            policy[lang] = number
+    return {i: (not base[i] and not (lang in policy and rejected_by(quality.POLICIES[policy[lang] - 1], measures[i])), policy.get(lang)) for i, _, lang in rows}
+
+
+def test_learned_rules_reject_and_keep_the_risk(spark):
+    texts = {lang: graded(seed, n, bad) for lang, seed, n, bad in (("en", 1, 700, 60), ("fr", 2, 300, 40), ("de", 3, 60, 20))}
+    rows, labels = [], {}
+    for lang, ts in texts.items():
+        for k, t in enumerate(ts):
+            i = len(rows)
+            rows.append((i, t, lang))
+            if k % 7:  # the rest isn't labelled
+                labels[i] = int("###" not in t or t.count("###") < 2)
+    rows += [(len(rows), rows[0][1], "es"), (len(rows) + 1, None, "en"), (len(rows) + 2, prose(5, 70), None)]
+    labels[len(rows) - 3] = 1  # a stratum with one label
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    got = {r.doc_id: (r.kept, r.policy) for r in quality.quality_rules(df, marks).collect()}
+    want = brute_verdicts([(i, t, lang or "") for i, t, lang in rows], labels, quality.RISK, quality.DELTA)
+    assert got == want
+    assert {lang: want[i][1] for i, _, lang in rows if lang}.keys() >= {"en", "fr", "de", "es"} and want[len(rows) - 3][1] is None
+    learned = [i for i, _, lang in rows if lang in ("en", "fr") and not got[i][0]]
+    assert len(learned) > 50 and "de" not in {rows[i][2] for i, (k, _) in got.items() if not k}
+    # good documents that had no label: rejected at no more than the risk
+    fresh = [i for i, t, lang in rows if lang in ("en", "fr") and i not in labels and t and "###" not in t]
+    assert np.mean([not got[i][0] for i in fresh]) <= quality.RISK
+    certified = {r.stratum: r for r in quality.fit_policies(quality.measured(df), marks).collect()}
+    assert set(certified) == {"en", "fr"} and all(r.bound <= quality.DELTA / 2 and r.k <= quality.RISK * r.n for r in certified.values())
+    assert [r.doc_id for r in quality.quality_filter(df, marks).orderBy("doc_id").collect()] == [i for i, (k, _) in sorted(got.items()) if k]
+
+
+def test_policies_stop_at_the_first_that_fails(spark):
+    def stratum(name, n, share):  # one in ``share`` good ones has 3 % of symbols
+        return [(name, True, 100, 10, 0, 0, 3 if share and k % share == 0 else 0, 500) for k in range(n)]
+
+    schema = "stratum string, good boolean, n_words long, n_lines long, n_dup_lines long, n_repeat_words long, n_symbols long, word_chars long"
+    # symbols are 0.6 % of characters there: nothing rejects it; with 60 symbols the fifth policy does
+    d = spark.createDataFrame([(s, g, w, li, du, rp, sy * 20, ch) for s, g, w, li, du, rp, sy, ch in stratum("x", 5000, 200) + stratum("y", 5000, 20) + stratum("z", 300, 0) + stratum("few", 50, 0)], schema)
+    got = {r.stratum: (r.policy, r.k) for r in quality.certified_policies(d).collect()}
+    assert got == {"x": (len(quality.POLICIES), 25), "y": (4, 0), "z": (len(quality.POLICIES), 0)}
+    assert quality.certified_policies(d.where("false")).count() == 0
 
 
 def test_bpe_and_counts(docs, none):
@@ -187,41 +257,132 @@ def test_warc(spark):
     assert warc.round_trip(df.where("false")).count() == 0
     folder = warc.archive_folder(spark)
     index = common.Scratch(spark, "t").table(warc.write_archives(df, folder, archive_bytes=500), "index")
+    # what another attempt left behind is not in the index and so never read
+    with open(f"{folder.removeprefix('file:')}/part-000000-0000-999.warc.zst", "wb") as f:
+        f.write(b"half an archive")
+    assert warc.read_archives(spark, folder, index).count() == len(rows) and index.select("archive").distinct().count() > 1
     picked = warc.fetch_records(spark, folder, index.where("page_id = 4")).collect()
     assert len(picked) == 1 and warc.parse(bytes(picked[0].record))["payload"] == ("é" * 9000).encode()
 
 
+def plain_language(text, dictionaries):
+    """The rule of langid by one-shot compression: no kept compressors, no batches."""
+    import zstandard
+
+    data = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+    if not data:
+        return "und", True
+    size = {}
+    for name, held in dictionaries.items():
+        d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size[name] = 0
+        for a in range(0, len(data), langid.WINDOW):
+            z = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            size[name] += len(z.compress(data[a : a + langid.WINDOW]))
+    first, second = sorted((n, k) for k, n in size.items())[:2]
+    return first[1], (second[0] - first[0]) / second[0] < langid.MIN_MARGIN
+
+
 def test_language(spark, docs, none):
     fr, de = "le chat et la maison sont dans la rue avec les enfants " * 4, "der hund und das haus sind auf der straße mit den kindern " * 4
     train = spark.createDataFrame([(i, fr if i % 2 else de, "fr" if i % 2 else "de") for i in range(40)] + [(99, None, "fr"), (98, "x", None)], "doc_id long, text string, lang string")
     model = langid.train_dictionaries(train)
     assert sorted(model) == ["de", "fr"] and len(set(map(len, model.values()))) == 1
-    ask = spark.createDataFrame([(1, "les enfants sont dans la maison", 5), (2, "die kinder sind auf der straße", 5), (3, None, 5), (4, "12 !", 5), (2, "die kinder sind auf der straße", 5)], "doc_id long, text string, language int")
-    got = langid.identify(ask, model).select("row.*", F.col("language.lang_pred").alias("p"), "language.rejected").collect()
-    assert Counter((r.doc_id, r.p) for r in got) == Counter({(1, "fr"): 1, (2, "de"): 2, (3, "und"): 1, (4, "und"): 1})
-    assert {r.doc_id for r in got if r.rejected} == {3, 4}
+    texts = ["les enfants sont dans la maison", "die kinder sind auf der straße", None, "12 !", "½", "die kinder sind auf der straße", "le chat " * 300_000, "der hund und les enfants", "zzz", "Haus", ""]
+    ask = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)] + [(None, texts[0], 5)], "doc_id long, text string, language int")
+    got = {r.doc_id: r for r in langid.identify(ask, model).select("row.*", F.col("language.lang_pred").alias("p"), "language.rejected", "language.score").collect()}
+    assert {i: (got[i].p, got[i].rejected) for i in range(len(texts))} == {i: plain_language(t, model) for i, t in enumerate(texts)} and got[None].p == "fr"
+    assert got[0].p == "fr" and got[1].p == "de" and got[6].p == "fr" and not got[6].rejected and all(got[i].p == "und" and got[i].score == 0 for i in (2, 3, 4, 10))
     assert langid.identify(none, model).count() == 0 and langid.train_dictionaries(none) == {}
 
 
+def test_training_texts_are_whole_and_bounded(spark):
+    short, long = [(i, f"wort{'abcdefgh'[i]} " * 20, "de") for i in range(8)], [(20 + i, f"lang{'abc'[i]} " * 200, "de") for i in range(3)]
+    only = [(40 + i, "une phrase longue " * 200, "fr") for i in range(3)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.train_dictionaries(spark.createDataFrame(short + long + only, schema), sample_docs=9, sample_bytes=100_000, long=1000)
+    held = model["de"].decode(errors="replace")
+    assert all(langid.normal(t).decode() in held for _, t, _ in short) and sum(langid.normal(t).decode() in held for _, t, _ in long) == 1
+    few = langid.train_dictionaries(spark.createDataFrame(short + only, schema), sample_docs=9, sample_bytes=1, long=1000)
+    assert langid.normal(only[0][1]) in few["fr"] and sum(langid.normal(t) in few["de"] for _, t, _ in short) == 1
+
+
+def test_held_out_accuracy(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    held = common.crc32_mod("doc_id", 4) == 2
+    model = langid.train_dictionaries(d.where(~held))
+    got = langid.identify(d.where(held), model).select("row.lang", "language.*").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and np.mean([r.rejected for r in got]) < 0.02
+
+
 def test_hmm(docs, none):
     train = F.col("doc_id") % 3 != 0
-    got = hmm.hmm_scores(docs, train, states=3, passes=1).collect()
+    fitted = hmm.fit_hmm(docs, train, states=3, passes=2, rise=0)
+    got = hmm.scored(fitted.codes, fitted.model, fitted.classes).collect()
     tok = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "<end> of"]) for i, t in ROWS]
     c = Counter(w for i, t in tok if i is not None and i % 3 for w in t)
     n, v = sum(c.values()), len(c)
     want = sorted((i or 0, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for i, t in tok)
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
+    assert sorted((r.doc_id or 0, round(r.score, 6)) for r in got) == sorted((i or 0, round(plain_score(t, fitted, c), 6)) for i, t in tok)
+    assert len(fitted.likelihoods) == 2 and fitted.likelihoods[1] >= fitted.likelihoods[0]
     assert hmm.hmm_scores(none, train).count() == 0
     assert all(r.score == 0 == r.base_score for r in hmm.hmm_scores(docs, F.lit(False), passes=1).collect())
 
 
+def plain_class(word, fitted, counts):
+    """A word's class and its share of the class, from the word itself."""
+    k = fitted.classes
+    if not counts[word]:
+        return k.n - 1, 1.0
+    raw = np.frombuffer(word.encode(), np.uint8)
+    h, suffix = (hmm.END, hmm.SUFFIX_CLASSES) if word == "<end> of" else (textkernel.hash_spans(raw, np.array([0]), np.array([len(raw)]), lower=True)[0], 0)
+    if word != "<end> of":
+        for b in reversed(raw.tolist()[-4:]):
+            suffix = (suffix * 16777619) % 2**32 ^ b
+        for _ in range(4 - min(4, len(raw))):
+            suffix = (suffix * 16777619) % 2**32
+        suffix = (suffix ^ (suffix >> 15)) % hmm.SUFFIX_CLASSES
+    own = np.flatnonzero(k.frequent.words == h)
+    cls = int(own[0]) if len(own) else len(k.frequent.words) + suffix
+    return cls, counts[word] / k.total[cls]
+
+
+def plain_score(words, fitted, counts):
+    """log10 of the likelihood by the forward recursion, one token and state after the other."""
+    m, total, alpha = fitted.model, 0.0, None
+    for w in words:
+        cls, share = plain_class(w, fitted, counts)
+        before = list(m.start) if alpha is None else [sum(a * m.move[i][j] for i, a in enumerate(alpha)) for j in range(len(m.start))]
+        alpha = [p * m.emit[cls][j] * share for j, p in enumerate(before)]
+        scale = sum(alpha)
+        total += math.log10(scale)
+        alpha = [a / scale for a in alpha]
+    return total
+
+
+def test_words_share_classes_beyond_the_frequent(spark):
+    texts = [" ".join(f"w{'abcdefghij'[k % 10]}{k}ing" for k in range(j, j + 30) for _ in range(1 + k % 3)) for j in range(0, 200, 10)]
+    counts = Counter(w for t in texts for w in [*t.split(), "<end> of"])
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    blocks = hmm.coded(rows.withColumn("train", F.lit(True)))
+    totals = hmm.vocabulary_rows(blocks).groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("c"))
+    few = hmm.fit_classes(totals, own_classes=20)
+    assert 0 < len(few.frequent.words) <= 20 and few.frequent.counts.min() >= sorted(counts.values())[-21] and few.tokens == sum(counts.values()) == few.total.sum() and few.types == len(counts)
+    rest = hmm.other_words(blocks, few.frequent).select("word").distinct().count()
+    assert rest == len(counts) - len(few.frequent.words)
+
+
 def test_chat(spark):
     t = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 5, "user", "hi"), (3, 7, "assistant", "yo"), (4, 0, "user", "ho"), (4, 0, "user", "ho"), (5, 0, None, None), (6, 0, "user", ""), (None, 0, "user", "lost"), (7, 0, "user", "<|im_end|>")]
     got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame([(*x, 1) for x in t], "conv_id long, turn long, role string, text string, place int")).collect()}
     assert sorted(got) == [1, 4, 5, 6, 7] and got[1].n_copies == 2 and got[1].n_turns == 2
     assert got[1].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n" and got[7].rendered == "<|im_start|>user\n<im_end><|im_end|>\n"
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    many = spark.range(6000).select((F.col("id") % 2).alias("conv_id"), F.expr("id div 2").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    shorter = many.where("conv_id = 0 and turn < 2500").withColumn("conv_id", F.lit(9).cast("long"))
+    got = {r.conv_id: r for r in chat.format_chats(many.unionByName(shorter)).collect()}
+    assert sorted(got) == [0, 1] and got[0].n_turns == 3000 and got[0].rendered == "".join(f"<|im_start|>user\n{2 * k}<|im_end|>\n" for k in range(3000))
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -272,3 +433,33 @@ def test_a_rare_language_leaves_the_others_their_dictionaries(spark):
     model = langid.train_dictionaries(spark.createDataFrame([*rows, (50, "una sola palabra", "es")], schema))
     assert {k: model[k] for k in without} == without
     assert len(set(map(len, model.values()))) == 1 and model["es"].endswith(b"una sola palabra")
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("BLOCK_SHINGLES", 1500), ("STAR", 4)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(2):  # in each group some reach the head, some only each other, some nobody
+        base = prose(40 + g, 110).split()
+        for k in range(45):
+            gone = set(rng.choice(110, int(rng.integers(0, 7)), replace=False).tolist())
+            rows.append((1000 * g + k, " ".join("q%d" % rng.integers(1e6) if j in gone else w for j, w in enumerate(base))))
+    got = minhash.minhash_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    part = brute_components(rows, 4)
+    assert {r.doc_id: r.component_id for r in got} == part and 4 < len(set(part.values())) < 80
+
+
+def test_vector_groups_above_a_block(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    rng = np.random.default_rng(21)
+    head = rng.normal(size=(1, 16))
+    x = np.concatenate([head + 0.05 * rng.normal(size=(160, 16)), rng.normal(size=(80, 16)), np.repeat(rng.normal(size=(1, 16)), 30, 0)])
+    found = vectors.vector_near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.95)
+    unit = vectors.unit(x)
+    near = unit @ unit.T >= 0.95
+    assert found.recall >= 0.98
+    rows = {r.vec_id: r.n_links for r in found.rows.collect()}
+    assert sum(rows.values()) >= 0.98 * (near.sum() - len(x)) and all(n <= near[i].sum() - 1 for i, n in rows.items())
+    assert all(rows[i] == 29 for i in range(240, 270))
