@@ -1,18 +1,23 @@
-"""What Python workers need: the package itself, and Arrow batches of bounded size."""
+"""What all of Spark needs of this package: itself on Python workers, Arrow batches of bounded size, a shared
+folder for tables that cut lineage."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parents[1]
 #: Bytes of an Arrow batch, unless the session's settings say otherwise: a worker holds a batch at a time.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows of a few numbers or short strings that are sent to all tasks at most; some 150 bytes each in a hash table.
+ROW_LIMIT = 200_000
 _shipped: set[str] = set()
 
 
@@ -30,3 +35,39 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "larkspur").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(at))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or what setCheckpointDir named.
+
+    Only where neither is set and all of Spark runs on this machine (tests, a laptop) is a fresh local folder made
+    and set; a cluster without the setting is an error, as its executors share no local folder."""
+    sc = spark.sparkContext
+    if conf := sc.getConf().get("spark.checkpoint.dir"):
+        return conf.rstrip("/")
+    held = sc._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get().rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: computed once, outlives lost executors, cuts lineage."""
+    path = f"{shared_dir(df.sparkSession)}/larkspur/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(rows: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
+    """``rows``, marked to be sent to all tasks if counting them shows that they are few; store them first if they
+    are costly to make."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its scan has fewer tasks than these, as one small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

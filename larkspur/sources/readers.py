@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 import subprocess
+import uuid
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.conversations import keep_tool_output
+from ..runtime import shared_dir
 
 BLOCK = "struct<type:string,text:string,id:string,name:string,tool_use_id:string,content:string,input:string>"
 ENTRY = f"type string, uuid string, timestamp string, sessionId string, cwd string, message struct<role:string,content:string,usage:struct<input_tokens:bigint,output_tokens:bigint>>, toolUseResult struct<filenames:array<string>>"
@@ -62,11 +65,64 @@ def parse_numstat(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(F.size(f) == 4).select(f[0].alias("hash"), f[3].alias("file_path"), n(1).alias("insertions"), n(2).alias("deletions"))
 
 
-def read_git_log(spark: SparkSession, root: str) -> DataFrame:
-    """All commits of the repository at ``root``. git runs on the driver: a repository lives on one machine."""
-    out = subprocess.run(["git", "-C", root, "log", "--all", f"--format={LOG_FORMAT}"], capture_output=True, check=True).stdout.decode(errors="replace")
-    records = [(x,) for x in out.split(RECORD) if x.strip()]
-    return parse_log(spark.createDataFrame(records, "value string"))
+def read_git_log(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
+    """All commits of the repository at ``root`` (or those not in ``since``). git runs on the driver, as a repository lies
+    on one machine; its output goes to a file in the shared folder and is parsed by Spark."""
+    args = ["log", "--all", f"--format={LOG_FORMAT}", *([f"^{since}"] if since else [])]
+    return parse_log(_git_output(spark, root, args, lineSep=RECORD))
+
+
+def read_numstat(spark: SparkSession, root: str) -> DataFrame:
+    """hash, file_path, insertions, deletions of all commits; a merge against its first parent."""
+    raw = _git_output(spark, root, ["log", "--all", "-m", "--first-parent", "--numstat", f"--format={RECORD}%H"], lineSep=RECORD)
+    lines = raw.select(F.split("value", "\n").alias("l")).select(F.col("l")[0].alias("hash"), F.explode("l").alias("line")).where(F.col("line").contains("\t"))
+    return parse_numstat(lines.select(F.concat_ws("\t", "hash", "line").alias("value"))).distinct()
+
+
+def _git_output(spark: SparkSession, root: str, args: list[str], **options) -> DataFrame:
+    folder = f"{shared_dir(spark)}/larkspur/git-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out.txt")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    with subprocess.Popen(["git", "-C", root, *args], stdout=subprocess.PIPE) as git:
+        while part := git.stdout.read(1 << 20):
+            out.write(bytearray(part))
+        out.close()
+        if git.wait():
+            raise RuntimeError(f"git failed in {root}")
+    return spark.read.options(**options).text(folder)
+
+
+def safe_hash(text: str) -> bool:
+    """Whether a text can be handed to git as a commit: never an option or anything but a hash."""
+    return bool(re.fullmatch(r"[0-9a-f]{4,64}", text))
+
+
+def read_tail(path: str, offset: int = 0, block: int = 1 << 20) -> tuple[list[str], int]:
+    """(lines, offset) of a growing file from a byte offset on: complete lines only; the offset is where the next read
+    begins. A file shorter than the offset was replaced and is read from its start."""
+    with open(path, "rb") as f:
+        end = f.seek(0, 2)
+        at = f.seek(0 if end < offset else offset)
+        held, lines = b"", []
+        while part := f.read(block):
+            *whole, held = (held + part).split(b"\n")
+            lines += whole
+            at += sum(map(len, whole)) + len(whole)
+    return [x.decode(errors="replace") for x in lines if x.strip()], at
+
+
+def find_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified, size) of the transcripts in a folder, latest first; no row if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], "path string, modified timestamp, size long")
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    return f.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")).orderBy(F.desc("modified"), "path")
+
+
+def session_folder(root: str, project: str) -> str:
+    """Where a project's transcripts lie under ``root``: its path with all but letters and digits as dashes."""
+    return f"{root.rstrip('/')}/{re.sub(r'[^A-Za-z0-9]', '-', project)}"
 
 
 def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +133,25 @@ def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def load_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """task, grading, expectedFiles of an A/B evaluation; a row without a task or grading is an error."""
+    df = spark.read.schema("task string, grading string, expectedFiles array<string>").json(path, multiLine=True)
+    if df.where("coalesce(task, '') = '' or coalesce(grading, '') = ''").limit(1).count():
+        raise ValueError("each row needs a task and a grading")
+    return df
+
+
+def save_traces(traces: DataFrame, path: str) -> None:
+    """The traces of an evaluation as JSON lines."""
+    traces.write.mode("overwrite").json(path)
+
+
+def dangerous_folder(path: str, home: str) -> bool:
+    """A folder that is never indexed as a project: a slip there would read a whole machine."""
+    clean = "/" + "/".join(x for x in path.replace("\\", "/").split("/") if x not in ("", "."))
+    return clean in ("/", "/home", "/Users", "/root", "/tmp", "/usr", "/etc", "/var", "/opt", home.rstrip("/"))
+
+
 @dataclass
 class Config:
     """Settings, with what the engine uses where a file sets nothing."""

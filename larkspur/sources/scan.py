@@ -11,27 +11,43 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 MAX_BYTES, MAX_AVERAGE_LINE = 50 << 20, 1000
-# Base names that have a file type without an extension.
-VIRTUAL_EXTENSIONS = {"Makefile": ".makefile", "GNUmakefile": ".makefile", "Dockerfile": ".dockerfile", "Jenkinsfile": ".groovy", "Vagrantfile": ".rb", "Gemfile": ".rb", "Rakefile": ".rb"}
+# Base names, in lower case, that have a file type without an extension, and those that have it also
+# with anything after a dot.
+VIRTUAL_EXTENSIONS = {
+    "makefile": ".makefile", "gnumakefile": ".makefile", "vagrantfile": ".vagrantfile", "gemfile": ".gemfile",
+    "rakefile": ".rakefile", "brewfile": ".brewfile", "procfile": ".procfile",
+}
+VIRTUAL_PREFIXES = {"dockerfile": ".dockerfile", "jenkinsfile": ".jenkinsfile"}
 
 
 def admission_status(text: Column, size: Column, known: Column, old_hash: Column | None = None, max_size: int = MAX_BYTES) -> Column:
     """What becomes of a file, the first that applies: too_large, unchanged, minified (long average lines),
-    unknown_extension, empty, indexed."""
+    unknown_extension, empty (nothing but white space), indexed."""
     average = F.length(text) / F.size(F.split(text, "\n"))
-    out = F.when(F.length(text) == 0, "empty").when(size > max_size, "too_large")
+    out = F.when(size > max_size, "too_large")
     if old_hash is not None:
         out = out.when(old_hash.eqNullSafe(tx.content_hash(text)), "unchanged")
-    return out.when(average > MAX_AVERAGE_LINE, "minified").when(~known, "unknown_extension").otherwise("indexed")
+    return out.when(average > MAX_AVERAGE_LINE, "minified").when(~known, "unknown_extension").when(~text.rlike(r"\S"), "empty").otherwise("indexed")
+
+
+def no_longer_indexed(scanned: DataFrame, stored: DataFrame) -> DataFrame:
+    """file_id of ``stored`` files (file_id, path) whose last scan (path, status) ended in a skip for good: what was
+    indexed of them before must go (see store.remove_files)."""
+    skipped = scanned.where(F.col("status").isin("too_large", "minified", "unknown_extension", "empty"))
+    return stored.join(skipped.select("path").distinct(), "path", "left_semi").select("file_id")
 
 
 def extension(path: Column | str) -> Column:
-    """The extension, also of files known by their base name."""
-    base = tx.basename(path)
-    out = F.when(base.startswith("Dockerfile."), ".dockerfile")
+    """The extension, also of files known by their base name, without regard to case."""
+    base = F.lower(tx.basename(path))
+    own = F.regexp_extract(base, r"(?<=.)(\.[^.]+)$", 1)
+    out = None
+    for name, ext in VIRTUAL_PREFIXES.items():
+        when = (base == name) | base.startswith(f"{name}.")
+        out = F.when(when, ext) if out is None else out.when(when, ext)
     for name, ext in VIRTUAL_EXTENSIONS.items():
         out = out.when(base == name, ext)
-    return out.otherwise(F.lower(F.regexp_extract(base, r"(?<=.)(\.[^.]+)$", 1)))
+    return out.otherwise(own)
 
 
 def front_matter(text: Column | str) -> Column:

@@ -19,43 +19,73 @@ def read_entries(spark: SparkSession, folder: str, schema: str = ENTRY, **option
 
 
 def stream_turns(entries: DataFrame) -> DataFrame:
-    """Turns of a stream of entries that come in order within a session. The open turn is kept as state and sent
-    again with each batch that adds to it; the sink replaces it by (session_id, turn_index)."""
+    """Turns of a stream of entries that come in order from batch to batch; within a batch a session's entries are put
+    in order. The open turn is kept as state and sent again with each batch that adds to it; the sink replaces it by
+    (session_id, turn_index)."""
 
     def fold(key, frames, state):
         import pandas as pd
 
         turn, user, answer, n = state.get if state.exists else (-1, "", "", 0)
         done: dict[int, tuple] = {}
-        for frame in frames:
-            for role, text in frame.sort_values("seq")[["role", "text"]].itertuples(index=False):
-                if role == "user":
-                    turn, user, answer, n = turn + 1, "", "", 0
-                if turn < 0:
-                    continue
-                text = text or ""
-                if role == "user":
-                    user = text
-                elif role == "assistant" and text:
-                    answer = f"{answer}\n{text}" if answer else text
-                n += 1
-                done[turn] = (key[0], turn, user, answer, n)
+        # a session can come in several frames, so order is made over all of them
+        for _, role, text in sorted((row for f in frames for row in f[["seq", "role", "text"]].itertuples(index=False, name=None)), key=lambda r: r[0]):
+            if role == "user":
+                turn, user, answer, n = turn + 1, "", "", 0
+            if turn < 0:
+                continue
+            text = text or ""
+            if role == "user":
+                user = text
+            elif role == "assistant" and text:
+                answer = f"{answer}\n{text}" if answer else text
+            n += 1
+            done[turn] = (key[0], turn, user, answer, n)
         state.update((turn, user, answer, n))
         yield pd.DataFrame(list(done.values()), columns=["session_id", "turn_index", "user_text", "assistant_text", "n_events"])
 
     return entries.groupBy("session_id").applyInPandasWithState(fold, TURN, "turn long, user string, answer string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def replacing_sink(path: str, keys: list[str]):
-    """A foreachBatch function: rows replace those of the same keys in the Parquet table at ``path``. Each batch
-    writes a new version of the table; batches that are run again write the same rows again."""
+def replacing_sink(path: str, keys: list[str], buckets: int = 16):
+    """A foreachBatch function: rows replace those of the same keys in the table ``rows`` of the store at ``path``. Rows
+    lie in buckets by the hash of their keys, and a batch rewrites the buckets it touches; old versions go. Batches
+    that are run again write the same rows again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from ..sources.store import SnapshotStore, upsert
 
         store = SnapshotStore(batch.sparkSession, path)
-        held = store.manifest()["tables"]
-        store.commit(rows=upsert(store.read("rows"), batch, keys) if "rows" in held else batch)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        touched = [r.b for r in batch.select(bucket.alias("b")).distinct().collect()]  # ``buckets`` rows at most
+        if touched:
+            held = store.read_buckets("rows", touched)
+            store.commit_buckets("rows", batch if held is None else upsert(held, batch, keys), bucket, touched)
+            store.vacuum(keep=2)
+        batch.unpersist()
+
+    return write
+
+
+def refreshing_sink(path: str):
+    """A foreachBatch function for file events (file_id, path, action, at): of each path the last event counts; removed
+    files go from all tables of the store at ``path``, and references that a change can touch are resolved again.
+    What was read of changed files is committed before, by whoever reads them."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        from ..operators.symbols import importers_of, refresh_references
+        from ..sources.store import SnapshotStore, remove_files
+
+        store = SnapshotStore(batch.sparkSession, path)
+        names = ("files", "chunks", "imports", "exports", "refs")
+        tables = {n: store.read(n) for n in names}
+        last = latest_events(batch).join(tables["files"].select("file_id", "path"), "path")
+        # who imported what went is asked before it goes
+        scope = importers_of(tables["imports"], last.select("file_id", "path"))
+        left = remove_files(tables, last.where("action = 'remove'"))
+        left["refs"] = refresh_references(left["refs"], left["exports"], left["imports"], scope)
+        store.commit(**left)
 
     return write
 
