@@ -204,9 +204,26 @@ def query_phrases(query: str) -> list[list[str]]:
 
 
 def like_literal(text: str) -> str:
+    """``text`` in a LIKE pattern whose escape character is a backslash."""
     return re.sub(r"([%_\\])", r"\\\1", text)
 
 
+def packed(c: Column | str) -> Column:
+    """An array as JSON text, the form in which rows of other engines keep one."""
+    return F.to_json(col(c))
+
+
+def unpacked(c: Column | str, element: str = "string") -> Column:
+    """The array of a JSON text; of what isn't one, an empty array."""
+    return F.coalesce(F.from_json(col(c), f"array<{element}>"), F.array().cast(f"array<{element}>"))
+
+
+def preview(c: Column | str, length: int) -> Column:
+    """The first characters of a text, with dots where it goes on."""
+    t = F.coalesce(col(c), F.lit(""))
+    return F.when(F.length(t) > length, F.concat(F.btrim(F.substring(t, 1, length)), F.lit("..."))).otherwise(t)
+
+
 def content_hash(c: Column | str) -> Column:
     return F.sha2(col(c), 256)
 
@@ -252,14 +269,15 @@ def is_iso_date(c: Column | str) -> Column:
 
 
 def line_span(text: Column, parts: Column) -> Column:
-    """For each part, in order: its 1-based first and last line in ``text``, found from where the last one
-    began; null for parts that aren't there."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start_line:int,end_line:int>>").alias("out"))
+    """For each part, in order: its 1-based first and last line in ``text``, found from where the last one began; null
+    for parts that aren't there. Line feeds are counted from one part to the next, so each character once."""
+    feeds = lambda x: F.length(x) - F.length(F.translate(x, "\n", ""))
+    start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<start_line:int,end_line:int>>").alias("out"))
 
     def step(a: Column, part: Column) -> Column:
         at = F.call_function("locate", part, text, a["at"])
-        first = F.size(F.split(F.substring(text, F.lit(1), at - 1), "\n"))
-        found = F.struct(F.when(at > 0, first).alias("start_line"), F.when(at > 0, first + F.size(F.split(part, "\n")) - 1).alias("end_line"))
-        return F.struct(F.when(at > 0, at).otherwise(a["at"]).alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+        first = a["line"] + feeds(F.substring(text, a["at"], at - a["at"]))
+        found = F.struct(F.when(at > 0, first).alias("start_line"), F.when(at > 0, first + feeds(part)).alias("end_line"))
+        return F.struct(F.when(at > 0, at).otherwise(a["at"]).alias("at"), F.when(at > 0, first).otherwise(a["line"]).alias("line"), F.concat(a["out"], F.array(found)).alias("out"))
 
     return F.aggregate(parts, start, step, lambda a: a["out"])

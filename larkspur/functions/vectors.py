@@ -7,7 +7,7 @@ import zlib
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col
@@ -39,6 +39,14 @@ def mean_unit(vectors: Column | str) -> Column:
     return F.when(norm > 0, F.transform(mean, lambda x: x / norm)).otherwise(mean)
 
 
+def merge_embeddings(rows: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
+    """(keys, embedding): the mean of each group's vectors, of length 1. Positions are averaged with partial sums, so
+    no group's vectors are gathered; use mean_unit for vectors that are in one row."""
+    each = rows.select(*keys, F.posexplode(vector).alias("_k", "_x")).groupBy(*keys, "_k").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_m"))), lambda x: x["_m"])
+    return each.groupBy(*keys).agg(mean_unit(F.array(listed)).alias(vector))
+
+
 def token_windows(tokens: Column | str, size: int = 256, overlap: int = 32) -> Column:
     """An array of windows; one alone if the tokens fit in it."""
     t = col(tokens)
@@ -79,3 +87,10 @@ def embed_column(text: Column | str, embedder: Embedder) -> Column:
         return pd.Series(list(embedder.embed(texts.fillna("").tolist())))
 
     return run(col(text))
+
+
+def embed_windows(rows: DataFrame, key: str, text: str, embedder: Embedder, size: int = 256, overlap: int = 32) -> DataFrame:
+    """(key, embedding): each text's vector, that of a long text being the mean of its windows' of ``size`` words."""
+    words = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    windows = rows.select(key, F.explode(token_windows(words, size, overlap)).alias("_w")).select(key, F.array_join("_w", " ").alias("_t"))
+    return merge_embeddings(windows.select(key, embed_column("_t", embedder).alias("embedding")), key)

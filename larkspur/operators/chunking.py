@@ -182,6 +182,20 @@ def parent_groups(chunks: DataFrame) -> DataFrame:
     return g.where("members >= 2").withColumn("chunk_index", F.lit(-1))
 
 
+def bookend_groups(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (file_id, chunk_index, chunk_type, entity_name and others) with group: pieces of one entity that follow
+    each other, an opening piece (chunk_type ends in _start), what lies in it, and a closing one (_end) of the same
+    entity. Chunks outside any pair have no group."""
+    w = Window.partitionBy("file_id").orderBy("chunk_index")
+    kind = F.coalesce("chunk_type", F.lit(""))
+    c = chunks.withColumn("_open", F.sum(F.when(kind.endswith("_start"), 1).otherwise(0)).over(w)).withColumn("_closed", F.coalesce(F.sum(F.when(kind.endswith("_end"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pairs = Window.partitionBy("file_id", "_open")
+    names = F.max(F.when(kind.endswith("_start"), F.col("entity_name"))).over(pairs)
+    ends = F.max(F.when(kind.endswith("_end"), F.col("entity_name"))).over(pairs)
+    group = F.when((F.col("_open") > F.col("_closed")) & (names == ends), F.col("_open"))
+    return c.withColumn("group", group).drop("_open", "_closed")
+
+
 def flatten_references(chunks: DataFrame) -> DataFrame:
     """chunk_id, name, line from a map of names to lines."""
     return chunks.select("chunk_id", F.explode("references").alias("name", "lines")).select("chunk_id", "name", F.explode("lines").alias("line"))

@@ -38,12 +38,14 @@ def session_stats(turns: DataFrame, session: str = "session_id") -> DataFrame:
     return turns.groupBy(session).agg(F.count(F.lit(1)).alias("turn_count"), F.max("turn_index").alias("last_turn"), F.sum("token_cost").alias("total_tokens"))
 
 
-def turn_window(turns: DataFrame, session: str = "session_id", tail: int | None = None, turn: int | None = None, context: int = 0) -> DataFrame:
-    """The last ``tail`` turns, or those around ``turn``, clamped to what there is."""
-    last = turns.groupBy(session).agg(F.max("turn_index").alias("_last"))
-    t = turns.join(last, session)
-    if turn is not None:
-        at = F.least(F.greatest(F.lit(turn), F.lit(0)), F.col("_last"))
+def turn_window(turns: DataFrame, session: str = "session_id", tail: int | None = None, turn: int | None = None, context: int = 0, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The turns from ``first`` to ``last``, those around ``turn``, or the last ``tail``, clamped to what there is."""
+    t = turns.join(turns.groupBy(session).agg(F.max("turn_index").alias("_last")), session)
+    clamp = lambda x: F.least(F.greatest(F.lit(x), F.lit(0)), F.col("_last"))
+    if first is not None or last is not None:
+        t = t.where(F.col("turn_index").between(clamp(first or 0), F.col("_last") if last is None else clamp(last)))
+    elif turn is not None:
+        at = clamp(turn)
         t = t.where(F.col("turn_index").between(at - context, at + context))
     elif tail is not None:
         t = t.where(F.col("turn_index") > F.col("_last") - tail)
@@ -73,6 +75,44 @@ def first_per_turn(chunks: DataFrame, k: int, turn: str = "turn_id", session: st
     return best.orderBy("rank").limit(k)
 
 
+def search_turns(near: DataFrame, words: DataFrame, k: int, weight: float = 0.5, session: object | None = None) -> DataFrame:
+    """(turn_id, score, rank) of one search of conversations. near, words: ranked chunks (turn_id, session_id, rank), as
+    many as three times k, or ten with a session. Each list gives its first k turns, a turn by its best chunk."""
+    from .retrieval import rrf, top
+
+    lists = [first_per_turn(d, k, session=session).withColumn("rank", F.row_number().over(Window.orderBy("rank"))).select("turn_id", "rank") for d in (near, words)]
+    return top(rrf(*lists, weight, ["turn_id"]).select("turn_id", F.round("score", 12).alias("score")), k, "turn_id", "score")
+
+
+def changed_turns(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(turn_id, changed): whether a turn's chunks (turn_id, chunk_index, snippet) differ from those stored; one that
+    didn't change need not be embedded again. Texts are compared by a hash of all of them in order."""
+    whole = lambda d, c: d.groupBy("turn_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "snippet"))), lambda x: x["snippet"]), "\0"), 256).alias(c))
+    return whole(fresh, "n").join(whole(stored, "o"), "turn_id", "left").select("turn_id", (~F.col("n").eqNullSafe(F.col("o"))).alias("changed"))
+
+
+def delete_turns(turns: DataFrame, above: DataFrame, session: str = "session_id") -> DataFrame:
+    """Without the turns beyond those of ``above`` (session, last: the last turn that stays, null for none)."""
+    a = above.select(F.col(session), F.coalesce("last", F.lit(-1)).alias("_last"))
+    return turns.join(a, session, "left").where(F.col("_last").isNull() | (F.col("turn_index") <= F.col("_last"))).drop("_last")
+
+
+def upsert_sessions(sessions: DataFrame, turns: DataFrame, session: str = "session_id") -> DataFrame:
+    """Sessions with the statistics of ``turns`` in place of what was stored; others stay."""
+    from ..sources.store import upsert
+
+    return upsert(sessions, session_stats(turns, session), [session])
+
+
+def session_digest(sessions: DataFrame, turns: DataFrame, checkpoints: DataFrame, annotations: DataFrame, commits: DataFrame, k: int = 5) -> dict[str, list]:
+    """What a new session is told: the latest sessions with their last summary, checkpoints, notes and commits, ``k`` of
+    each at most, for the user."""
+    last = turns.groupBy("session_id").agg(F.max_by("summary", "turn_index").alias("summary"))
+    s = sessions.join(last, "session_id", "left").orderBy(F.desc("last_turn"), "session_id").limit(k)
+    lists = {"sessions": s.select("session_id", "turn_count", "summary"), "checkpoints": checkpoints.orderBy(F.desc("timestamp"), "title").limit(k).select("type", "title"), "notes": annotations.orderBy(F.desc("updated_at"), "path").limit(k).select("path", "note"), "commits": commits.orderBy(F.desc("date"), "commit_id").limit(k).select("date", "message")}
+    return {name: [tuple(r) for r in d.collect()] for name, d in lists.items()}
+
+
 def session_owner(entries: DataFrame, project: str, file: str = "file") -> DataFrame:
     """(file, owner): own if any entry's cwd is the project, foreign if others are named, unknown if none is."""
     mine = F.bool_or(F.col("cwd") == project)

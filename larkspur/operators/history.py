@@ -34,6 +34,23 @@ def commit_filter(commits: DataFrame, author: str | None = None, since: str | No
     return c
 
 
+def search_commits(commits: DataFrame, queries: DataFrame, query: str, k: int = 10, weight: float = 0.5, threshold: float = 0.0, **filters) -> DataFrame:
+    """(commit_id, score, rank) of one search: vectors (``queries``: query_id, query; one row) and keywords in message
+    and summary, fused. commits: commit_id, embedding, message, summary and what ``commit_filter`` takes. Filters
+    come before both lists are cut; keyword statistics are those of all commits. Rows that only the vectors found
+    need a cosine of ``threshold``, if that is above 0."""
+    from ..functions.vectors import score_cosine
+    from .retrieval import bm25_scores, cosine_gate, knn, rrf, top
+
+    c = commit_filter(commits, **filters)
+    near = knn(c.where("embedding is not null"), queries, k, "commit_id").select("commit_id", "rank", F.col("score").alias("vector_score"))
+    text = commits.select("commit_id", F.concat_ws("\n", "message", "summary").alias("text"))
+    words = top(bm25_scores(text, query, "commit_id").join(c.select("commit_id"), "commit_id", "left_semi"), k, "commit_id").select("commit_id", "rank")
+    fused = rrf(near, words, weight, ["commit_id"]).withColumn("cosine", score_cosine("vector_score"))
+    kept = cosine_gate(fused, threshold) if threshold > 0 else fused
+    return top(kept.select("commit_id", F.round("score", 12).alias("score")), k, "commit_id", "score")
+
+
 def newest_per_file(commits: DataFrame, commit_files: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("file_path").orderBy(F.desc("date"), "commit_id")
     return commit_files.join(commits, "commit_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -71,6 +88,25 @@ def purge(commits: DataFrame, reachable: DataFrame) -> DataFrame:
     return commits.join(reachable.select("hash").distinct(), "hash", "left_semi")
 
 
+def recovered(commits: DataFrame, reachable: DataFrame | None, last_is_ancestor: bool) -> tuple[DataFrame, bool]:
+    """(commits to keep, whether to read on from the last one): after a forced push (the last commit read is no ancestor)
+    what isn't ``reachable`` (hash) goes. Without an answer (None: git failed) nothing goes, as that is not the same
+    as an empty history."""
+    if last_is_ancestor or reachable is None:
+        return commits, last_is_ancestor
+    return purge(commits, reachable), False
+
+
+def parse_status(text: str) -> list[tuple[str, str]]:
+    """(state, path) of each line of ``git status --porcelain``; of a renamed file the new path."""
+    return [(line[:2].strip() or "?", line[3:].split(" -> ")[-1].strip('"')) for line in text.splitlines() if len(line) > 3]
+
+
+def git_context(status: DataFrame, files: DataFrame) -> DataFrame:
+    """``status`` (state, path) with indexed: whether the index has the file."""
+    return status.join(files.select("path").distinct().withColumn("indexed", F.lit(True)), "path", "left").select("state", "path", F.coalesce("indexed", F.lit(False)).alias("indexed"))
+
+
 def git_status(commits: DataFrame) -> DataFrame:
     """One row: commits, last date, and the last commit's id and message."""
     last = F.max(F.struct("date", F.col("commit_id"), "message"))

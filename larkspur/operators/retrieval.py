@@ -2,45 +2,99 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..functions.vectors import distance_score, l2_distance
+from ..functions.vectors import distance_score, l2_distance, score_cosine
+from ..runtime import ship, spread, stored
 
 K = 60
 #: Constants of the usual BM25.
 K1, B = 1.2, 0.75
+#: Up to so many queries are sent to all vectors; more are taken in blocks of BLOCK.
+FEW, BLOCK = 2_000, 1024
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, distance, score, rank) of the k nearest by L2. ``queries``: query_id, query (vector).
 
-    Every vector meets every query; a few queries are sent to all vectors. Per-query limits apply before the
-    shuffle (window group limit), so a task passes on k rows a query."""
-    d = vectors.join(F.broadcast(queries) if _few(queries) else queries, how="cross").select("query_id", key, F.round(l2_distance(vector, "query"), 9).alias("distance"))
+    Every vector meets every query: a few queries are sent to all vectors, more in blocks, each a pass over the
+    vectors that keeps k rows a query and task. Per-query limits apply before the shuffle (window group limit)."""
+    if queries.limit(FEW + 1).count() <= FEW:
+        d = vectors.crossJoin(F.broadcast(queries)).select("query_id", key, F.round(l2_distance(vector, "query"), 9).alias("distance"))
+    else:
+        d = _nearest_in_blocks(vectors, queries, k, key, vector)
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "distance", distance_score(F.col("distance")).alias("score"), "rank")
 
 
-def _few(queries: DataFrame, most: int = 10_000) -> bool:
-    return queries.limit(most + 1).count() <= most
+def _nearest_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """(query_id, key, distance): k candidates a query and Arrow batch at least, ties aside; numeric keys. Queries come
+    to the driver a block at a time."""
+    ship(vectors.sparkSession)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    rows, out = iter(queries.select("query_id", "query").toLocalIterator(prefetchPartitions=True)), []
+    while block := list(itertools.islice(rows, BLOCK)):
+        ids, q = [r.query_id for r in block], np.array([r.query for r in block], np.float64)
+
+        def run(batches, ids=ids, q=q):
+            squares = (q * q).sum(1)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 4096):
+                    b = whole.slice(at, 4096)
+                    x = np.asarray(pc.list_flatten(b.column(1)), np.float64).reshape(b.num_rows, -1)
+                    near = squares[:, None] + (x * x).sum(1) - 2 * (q @ x.T)
+                    # some more than k by the fast formula, then the exact distance
+                    n = min(k + 16, b.num_rows)
+                    pick = np.argpartition(near, n - 1, 1)[:, :n]
+                    exact = np.sqrt(((q[:, None] - x[pick]) ** 2).sum(2))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(np.repeat(np.arange(len(q)), n))), b.column(0).take(pa.array(pick.ravel())), pa.array(np.round(exact.ravel(), 9))], names=schema.names)
+
+        out.append(vectors.select(key, vector).mapInArrow(run, schema))
+    for d in out[1:]:
+        out[0] = out[0].unionByName(d)
+    return out[0]
+
+
+def index_tokens(text: str = "text", parts: bool = False) -> Column:
+    """What the keyword index holds of a text: its words and, with ``parts``, after a gap that no phrase crosses, the
+    parts of its identifiers."""
+    words = tx.word_tokens(text)
+    return F.concat(words, F.array(F.lit("")), tx.word_tokens(F.array_join(tx.identifier_parts(text), " "))) if parts else words
+
 
+def _phrases(query: str) -> list[list[str]]:
+    return list(map(list, dict.fromkeys(map(tuple, tx.query_phrases(query)))))
+
+
+def _scores(tf: DataFrame, key: str, phrases: list[list[str]], n: int, avgdl: float) -> DataFrame:
+    """(key, bm25) from tf (key, dl, f0, ...: how often each phrase occurs)."""
+    found = tf.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases)))).first()
+
+    def part(i: int) -> Column:
+        idf = F.greatest(F.log((F.lit(float(n)) - found[i] + 0.5) / (F.lit(float(found[i])) + 0.5)), F.lit(1e-6))
+        f = F.col(f"f{i}").cast("double")
+        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / avgdl))
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, term, tf, positions, doc_len): the keyword index; rebuilt, partitioned by document."""
-    t = docs.select(key, F.posexplode(tx.word_tokens(text)).alias("pos", "term"))
-    length = docs.select(key, F.size(tx.word_tokens(text)).alias("doc_len"))
-    return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).join(length, key)
+    return tf.where(sum(F.col(f"f{i}") for i in range(len(phrases))) > 0).select(key, F.round(sum(part(i) for i in range(len(phrases))), 9).alias("bm25"))
 
 
-def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", k: int | None = None) -> DataFrame:
-    """(key, bm25, rank) of documents that hold one of the query's phrases; a phrase's score is that of a term.
+def bm25_scores(docs: DataFrame, query: str, key: str = "id", text: str = "text", parts: bool = False) -> DataFrame:
+    """(key, bm25) of documents that hold one of the query's phrases; a phrase's score is that of a term.
 
-    A phrase of one word counts its term in the token array; longer ones count adjacent matches by position.
-    One pass over the texts gives frequencies and lengths, and one row of totals goes to all tasks."""
-    phrases = list(map(list, dict.fromkeys(map(tuple, tx.query_phrases(query)))))
-    tokens = docs.select(key, tx.word_tokens(text).alias("tokens"))
+    A phrase of one word counts its term in the token array; longer ones count adjacent matches by position. Texts
+    are read and cut into tokens once: a row of a few numbers a document is stored, from which both the totals and
+    the scores are made. For many queries on the same texts use TextIndex."""
+    phrases = _phrases(query)
+    if not phrases:
+        return docs.where(F.lit(False)).select(key, F.lit(0.0).alias("bm25"))
     words = F.col("tokens")
 
     def count(p: list[str]) -> Column:
@@ -50,22 +104,75 @@ def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", k: in
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.size(F.filter(starts, lambda i: F.slice(words, i + 1, len(p)) == F.array(*map(F.lit, p))))
 
-    if not phrases:
-        return tokens.where(F.lit(False)).select(key, F.lit(0.0).alias("bm25"), F.lit(0).alias("rank"))
-    tf = tokens.select(key, F.size(words).alias("dl"), *(count(p).alias(f"f{i}") for i, p in enumerate(phrases)))
-    stats = tf.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))))
-    scored = tf.where(sum(F.col(f"f{i}") for i in range(len(phrases))) > 0).crossJoin(F.broadcast(stats))
-
-    def part(i: int) -> Column:
-        idf = F.greatest(F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
-        f = F.col(f"f{i}").cast("double")
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-
-    total = F.round(sum(part(i) for i in range(len(phrases))), 9)
-    out = scored.select(key, total.alias("bm25")).orderBy(F.desc("bm25"), key)
-    if k is not None:
-        out = out.limit(k)
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("bm25"), key)))
+    # an exploded array of one keeps Spark from making the tokens again for each use
+    tokens = spread(docs.select(key, text)).select(key, F.explode(F.array(index_tokens(text, parts))).alias("tokens"))
+    tf = stored(tokens.select(key, (F.size(words) - int(parts)).alias("dl"), *(count(p).alias(f"f{i}") for i, p in enumerate(phrases))))
+    n, avgdl = tf.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    return _scores(tf, key, phrases, n, avgdl or 1.0)
+
+
+def top(scores: DataFrame, k: int, key: str, score: str = "bm25") -> DataFrame:
+    """The k best with their rank from 1, ties by key: a bounded list."""
+    best = scores.orderBy(F.desc(score), key).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+
+def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", k: int = 20, parts: bool = False) -> DataFrame:
+    """(key, bm25, rank) of the k best documents."""
+    return top(bm25_scores(docs, query, key, text, parts), k, key)
+
+
+class TextIndex:
+    """Postings in a snapshot store: (term, key, positions, dl), in folders by the term's hash, so that a search reads
+    the folders of its terms only, and of these the row groups that hold them."""
+
+    BUCKETS = 32
+
+    def __init__(self, store, name: str, key: str):
+        self.store, self.name, self.key = store, name, key
+
+    @classmethod
+    def _bucket(cls) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
+
+    def build(self, docs: DataFrame, text: str = "text", parts: bool = False) -> TextIndex:
+        """Indexes all of ``docs``. A word that all documents have is spread over tasks by document."""
+        key = self.key
+        tokens = spread(docs.select(key, text)).select(key, F.explode(F.array(index_tokens(text, parts))).alias("tokens"))
+        sized = tokens.select(key, (F.size("tokens") - int(parts)).alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
+        rows = sized.groupBy(key, "dl", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).where("term is null or term <> ''")
+        self.store.commit_buckets(self.name, rows.where("term is not null").sortWithinPartitions("term"), self._bucket(), list(range(self.BUCKETS)))
+        lengths = docs.select(key, F.explode(F.array(F.size(index_tokens(text, parts)) - int(parts))).alias("dl"))
+        self.store.commit(**{f"{self.name}_totals": lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))})
+        return self
+
+    def scores(self, query: str) -> DataFrame | None:
+        """(key, bm25) of the documents with one of the query's phrases; None if no folder has any of its words."""
+        phrases = _phrases(query)
+        terms = sorted({t for p in phrases for t in p})
+        if not terms:
+            return None
+        spark = self.store.spark
+        buckets = {r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket().alias("b")).collect()}
+        held = self.store.read_buckets(self.name, sorted(buckets))
+        if held is None:
+            return None
+        place = {t: f"p{i}" for i, t in enumerate(terms)}
+        none = F.array().cast("array<int>")
+        rows = held.where(F.col("term").isin(*terms)).groupBy(self.key).agg(F.max("dl").alias("dl"), *(F.coalesce(F.max(F.when(F.col("term") == t, F.col("positions"))), none).alias(c) for t, c in place.items()))
+
+        def count(p: list[str]) -> Column:
+            at = F.col(place[p[0]])
+            for i, t in enumerate(p[1:], 1):
+                at = F.array_intersect(at, before(place[t], i))
+            return F.size(at)
+
+        def before(c: str, i: int) -> Column:
+            return F.transform(c, lambda x: x - i)
+
+        tf = stored(rows.select(self.key, "dl", *(count(p).alias(f"f{i}") for i, p in enumerate(phrases))))
+        n, avgdl = self.store.read(f"{self.name}_totals").first()
+        return _scores(tf, self.key, phrases, n, avgdl or 1.0)
 
 
 def rrf(primary: DataFrame, secondary: DataFrame, weight: float, keys: list[str]) -> DataFrame:
@@ -83,6 +190,11 @@ def rrf(primary: DataFrame, secondary: DataFrame, weight: float, keys: list[str]
     return out
 
 
+def score_gate(rows: DataFrame, least: float) -> DataFrame:
+    """Rows whose fused score is ``least`` or more; no condition unless it is above 0."""
+    return rows.where(F.col("score") >= least) if least > 0 else rows
+
+
 def cosine_gate(fused: DataFrame, least: float, cosine: str = "cosine") -> DataFrame:
     """Drops rows only the vectors found whose cosine is below ``least``; keyword matches and unknown cosines stay."""
     return fused.where(F.col("rank_b").isNotNull() | F.col(cosine).isNull() | (F.col(cosine) >= least))
@@ -183,3 +295,71 @@ def promote_parents(chunks: DataFrame, parents: DataFrame, least: int = 2) -> Da
     kept = chunks.join(full, "parent_id", "left_anti").select("id", "parent_id", "score")
     new = full.join(chunks.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
     return kept.unionByName(new.select(F.col("parent_id").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.col("_best").alias("score")))
+
+
+def inject_symbols(rows: DataFrame, symbols: DataFrame, keys: list[str], score: float = 0.75) -> DataFrame:
+    """``rows`` and those of ``symbols`` (keys and others) that aren't among them, with a fixed score."""
+    new = symbols.dropDuplicates(keys).join(rows.select(*keys), keys, "left_anti")
+    return rows.unionByName(new.withColumn("score", F.lit(score)), allowMissingColumns=True)
+
+
+def best_per_file(rows: DataFrame, k: int, path: str = "path") -> DataFrame:
+    """The best chunk of each file, of equal ones the first, and of these the k best files."""
+    rest = [c for c in rows.columns if c != path]
+    best = rows.groupBy(path).agg(F.max_by(F.struct(*rest), F.struct("score", (-F.col("chunk_index")).alias("o"))).alias("r")).select(path, "r.*")
+    return top(best, k, path, "score")
+
+
+def insertion_points(rows: DataFrame, k: int) -> DataFrame:
+    """(path, score, rank, after, anchor): where text like the query would best be put in: after which entity or
+    chunk of each of the k best files, and how that ends."""
+    after = F.coalesce(F.concat(F.lit("after "), "entity_name"), F.concat(F.lit("after chunk "), F.col("chunk_index").cast("string")))
+    tail = F.btrim(F.substring(F.col("snippet"), F.greatest(F.length("snippet") - 149, F.lit(1)), F.lit(150)))
+    return best_per_file(rows, k).select("path", "score", "rank", after.alias("after"), tail.alias("anchor"))
+
+
+def chunk_search(
+    near: DataFrame, words: DataFrame, query: str, k: int, weight: float = 0.5, threshold: float = 0.0, leaf_only: bool = True, parent_boost: float = 0.0, rel_cutoff: float = 0.0,
+    importers: DataFrame | None = None, generated: list[str] | None = None, symbols: DataFrame | None = None, parents: DataFrame | None = None, siblings: int = 2, trace: dict | None = None,
+) -> DataFrame:
+    """Ranked chunks (path, chunk_index, score, rank) of one search.
+
+    near: path, chunk_index, rank, vector_score; words: path, chunk_index, rank; both bounded lists, with other columns
+    if wanted. In order: parents (chunk_index -1) give their files a boost and, ``leaf_only``, leave both lists, whose
+    ranks close up; fusion; rows that only the vectors found need a cosine of ``threshold``; boosts by path, names and
+    ``importers`` (path, importers); ``symbols`` (path, chunk_index) are injected; ``siblings`` of a parent become the
+    parent (``parents``: id, path; needs id and parent_id in the lists; not if leaf_only); documents widen the list;
+    the tail is cut. ``trace`` takes the DataFrame of each stage."""
+    keys, note = ["path", "chunk_index"], (lambda name, df: trace.__setitem__(name, df) if trace is not None else None)
+    blobs = None
+    if parent_boost > 0:
+        only = lambda d: d.where("chunk_index = -1").withColumn("rank", F.row_number().over(Window.orderBy("rank")))
+        blobs = rrf(only(near), only(words), weight, keys).groupBy("path").agg(F.max("score").alias("_blob"))
+    if leaf_only:
+        near, words = leaves_only(near), leaves_only(words)
+    note("lists", near.unionByName(words, allowMissingColumns=True))
+    f = rrf(near, words, weight, keys).withColumn("score", F.round("score", 12)).withColumn("cosine", score_cosine("vector_score"))
+    f = cosine_gate(f, threshold)
+    note("fused", f)
+    score = F.col("score") * path_boost(chunk=True) * affinity_boost(query, generated=generated, chunk=True)
+    if importers is not None:
+        f = f.join(importers.select("path", "importers"), "path", "left")
+        score = score + centrality_boost()
+    if blobs is not None:
+        f = f.join(blobs, "path", "left")
+        score = score + F.when(F.col("chunk_index") != -1, F.coalesce("_blob", F.lit(0.0)) * parent_boost).otherwise(0.0)
+    f = f.withColumn("score", F.round(score, 9)).drop("rank_a", "rank_b", "importers", "_blob")
+    note("scored", f)
+    if symbols is not None:
+        f = inject_symbols(f, symbols.where("chunk_index <> -1") if leaf_only else symbols, keys)
+        note("symbols", f)
+    if parents is not None and not leaf_only:
+        groups = promote_parents(f.select("id", "parent_id", "score"), parents.select("id"), siblings)
+        where = f.select("id", "path", "chunk_index").unionByName(parents.select("id", "path", F.lit(-1).cast(f.schema["chunk_index"].dataType).alias("chunk_index"))).dropDuplicates(["id"])
+        f = groups.join(where, "id")
+        note("grouped", f)
+    out = expand_for_docs(ranked(f, *keys), k)
+    if rel_cutoff > 0:
+        out = tail_cut(out, rel_cutoff)
+    note("final", out)
+    return out

@@ -6,15 +6,18 @@ start_line, end_line, parent_id), files (file_id, path)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 
-def search_symbols(exports: DataFrame, refs: DataFrame, files: DataFrame, query: str | None = None, exact: bool = False, kind: str | None = None, k: int = 20) -> DataFrame:
+def search_symbols(exports: DataFrame, refs: DataFrame, files: DataFrame, query: str | None = None, exact: bool = False, kind: str | None = None, k: int = 20, chunks: DataFrame | None = None) -> DataFrame:
     """Exports by name (equal or containing, without regard to case), each with the references to any export of its
-    name and the number of distinct directories they come from; by name and path."""
+    name, the number of distinct directories they come from and their files' names; by name and path. With
+    ``chunks`` also the first chunk of the name in the file and how many chunks have it as their parent."""
     e = exports
     if query:
         name = F.lower("name")
@@ -24,14 +27,26 @@ def search_symbols(exports: DataFrame, refs: DataFrame, files: DataFrame, query:
     top = e.join(files, "file_id").orderBy("name", "path", "export_id").limit(k)
     names = exports.select("export_id", "name").join(top.select("name").distinct(), "name", "left_semi")
     used = refs.join(names.withColumnRenamed("export_id", "resolved_export_id").withColumnRenamed("name", "export_name"), "resolved_export_id").join(files, "file_id")
-    n = used.groupBy(F.col("export_name").alias("name")).agg(F.count(F.lit(1)).alias("references"), F.countDistinct(tx.dirname("path")).alias("modules"))
-    return top.join(n, "name", "left").fillna(0, ["references", "modules"])
+    n = used.groupBy(F.col("export_name").alias("name")).agg(F.count(F.lit(1)).alias("references"), F.countDistinct(tx.dirname("path")).alias("modules"), F.array_sort(F.collect_set(tx.basename("path"))).alias("used_in"))
+    out = top.join(n, "name", "left").fillna(0, ["references", "modules"]).withColumn("used_in", F.coalesce("used_in", F.array().cast("array<string>")))
+    if chunks is None:
+        return out
+    children = chunks.where("parent_id is not null").groupBy(F.col("parent_id").alias("chunk_id")).agg(F.count(F.lit(1)).alias("children"))
+    first = chunks.where("entity_name is not null").groupBy("file_id", F.col("entity_name").alias("name")).agg(F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id"))
+    return out.join(first, ["file_id", "name"], "left").join(children, "chunk_id", "left").fillna(0, ["children"])
+
+
+def listed(rows: DataFrame, k: int, *order: str) -> tuple[DataFrame, bool]:
+    """(the first k rows, whether there are more)."""
+    few = rows.orderBy(*order).limit(k + 1)
+    return few.limit(k), few.count() > k
 
 
 def resolve_references(refs: DataFrame, exports: DataFrame, imports: DataFrame) -> DataFrame:
-    """refs with resolved_export_id, by the first of three that applies: an export of the same file; an imported
-    binding (its original name in the file it comes from; namespaces aside); a member of a namespace that is
-    named on the same line. The least export_id of several."""
+    """refs with resolved_export_id; one that is there already stays, as a reference is resolved once (see
+    ``refresh_references``). Else the first of three that applies: an export of the same file; an imported binding
+    (its original name in the file it comes from; namespaces aside); a member of a namespace that is named on the
+    same line. The least export_id of several."""
     own = exports.groupBy("file_id", "name").agg(F.min("export_id").alias("r1"))
     by_file = exports.groupBy(F.col("file_id").alias("resolved_file_id"), F.col("name").alias("original")).agg(F.min("export_id").alias("id"))
     bound = imports.where("not is_namespace and resolved_file_id is not null").join(by_file, ["resolved_file_id", "original"]).groupBy("file_id", F.col("local").alias("name")).agg(F.min("id").alias("r2"))
@@ -39,35 +54,70 @@ def resolve_references(refs: DataFrame, exports: DataFrame, imports: DataFrame)
     at = refs.select("file_id", "line", F.col("name").alias("space")).join(spaces, ["file_id", "space"]).select("file_id", "line", "resolved_file_id").distinct()
     members = refs.select("ref_id", "file_id", "line", F.col("name").alias("original")).join(at, ["file_id", "line"]).join(by_file, ["resolved_file_id", "original"]).groupBy("ref_id").agg(F.min("id").alias("r3"))
     out = refs.join(own, ["file_id", "name"], "left").join(bound, ["file_id", "name"], "left").join(members, "ref_id", "left")
-    return out.withColumn("resolved_export_id", F.coalesce("r1", "r2", "r3")).drop("r1", "r2", "r3")
+    held = [F.col("resolved_export_id")] if "resolved_export_id" in refs.columns else []
+    return out.withColumn("resolved_export_id", F.coalesce(*held, "r1", "r2", "r3")).drop("r1", "r2", "r3")
+
+
+def importers_of(imports: DataFrame, changed: DataFrame) -> DataFrame:
+    """file_id of ``changed`` files, of those that import them, and of those with an unresolved import whose last part is
+    a changed file's stem (``changed``: file_id, path): whose references a change can touch."""
+    ids = changed.select("file_id")
+    direct = imports.join(ids.select(F.col("file_id").alias("resolved_file_id")), "resolved_file_id", "left_semi").select("file_id")
+    last = F.lower(F.regexp_replace(F.element_at(F.split("source", r"[/\\.:]+(?=[^/\\.:]+$)"), -1), r"\.[^.]*$", ""))
+    open_ = imports.where("resolved_file_id is null").withColumn("_stem", last).join(changed.select(tx.stem("path").alias("_stem")).distinct(), "_stem", "left_semi").select("file_id")
+    return ids.unionByName(direct).unionByName(open_).distinct()
+
+
+def refresh_references(refs: DataFrame, exports: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
+    """refs after a change: pointers to exports that are gone are taken back everywhere; references of ``files``
+    (file_id) that point to nothing are resolved; the others stay as they are."""
+    from ..sources.store import null_dangling
 
+    held = null_dangling(refs, exports, "resolved_export_id", "export_id")
+    scope = files.select("file_id").distinct()
+    own = resolve_references(held.join(scope, "file_id", "left_semi"), exports, imports.join(scope, "file_id", "left_semi"))
+    return held.join(scope, "file_id", "left_anti").unionByName(own)
 
-def find_usages(refs: DataFrame, exports: DataFrame, files: DataFrame, symbol: str, k: int = 200) -> DataFrame:
-    """Where a symbol is used: references by its name or to one of its exports, outside the files that define it,
-    once a path and line (counted from 1), in order. A union of two semi-joins in place of an OR."""
-    mine = exports.where(F.lower("name") == symbol.lower())
-    by_name = refs.where(F.lower("name") == symbol.lower())
+
+def find_usages(refs: DataFrame, exports: DataFrame, files: DataFrame, symbol: str, k: int = 200, exact: bool = True, chunks: DataFrame | None = None) -> DataFrame:
+    """Where a symbol is used: references by its name (or, not ``exact``, a name that begins so), or under another name
+    to one of its exports, outside the files that define it, once a path and line (counted from 1), in order. A
+    union of two semi-joins in place of an OR.
+
+    With ``chunks`` (chunk_id, file_id, snippet, start_line) each has its line's text, and where references give fewer
+    than k, chunks whose text has the symbol as a word follow, by their first such line."""
+    fits = lambda c: F.lower(c) == symbol.lower() if exact else F.lower(c).startswith(symbol.lower())
+    mine, defining = exports.where(fits("name")), exports.where(F.lower("name") == symbol.lower()).select("file_id").distinct()
     by_export = refs.join(mine.select(F.col("export_id").alias("resolved_export_id")), "resolved_export_id", "left_semi")
-    hits = by_name.unionByName(by_export).select("file_id", (F.col("line") + 1).alias("line")).distinct()
-    return hits.join(mine.select("file_id"), "file_id", "left_anti").join(files.select("file_id", "path"), "file_id").select("path", "line").distinct().orderBy("path", "line").limit(k)
+    hits = refs.where(fits("name")).unionByName(by_export).withColumn("ref_line", F.col("line")).withColumn("line", F.col("line") + 1)
+    at = files.select("file_id", "path")
+    if chunks is None:
+        return hits.select("file_id", "line").distinct().join(defining, "file_id", "left_anti").join(at, "file_id").select("path", "line").distinct().orderBy("path", "line").limit(k)
+    text = chunks.select("chunk_id", "snippet", "start_line")
+    shown = hits.join(defining, "file_id", "left_anti").join(at, "file_id").join(text, "chunk_id").select("path", "line", tx.usage_line(F.col("snippet"), F.col("start_line"), F.col("ref_line")).alias("snippet"), F.lit(0).alias("source"))
+    word = rf"(?i)\b{re.escape(symbol)}" + (r"\b" if exact else "")
+    rest = chunks.where(F.col("snippet").rlike(word)).join(defining, "file_id", "left_anti").join(at, "file_id")
+    # lines before the first match
+    lines = F.split("snippet", "\n")
+    offset = F.size(F.split(F.regexp_extract("snippet", r"(?s)^(.*?)" + word.replace("(?i)", "(?i:") + ")", 1), "\n")) - 1
+    found = rest.select("path", (F.col("start_line") + offset).alias("line"), F.btrim(F.element_at(lines, offset + 1)).alias("snippet"), F.lit(1).alias("source"))
+    both = shown.unionByName(found).groupBy("path", "line").agg(F.min(F.struct("source", "snippet")).alias("r")).select("path", "line", "r.snippet", "r.source")
+    return both.orderBy("source", "path", "line").limit(k)
 
 
 def containing(points: DataFrame, ranges: DataFrame, keys: list[str], point: str = "line") -> DataFrame:
     """Each point's smallest range (start_line to end_line) of its file, the later of equals. An equi-join on
-    ``keys`` with a range condition."""
-    j = points.join(ranges, keys).where(F.col(point).between(F.col("start_line"), F.col("end_line")))
-    own = [c for c in points.columns]
+    ``keys`` with a range condition. Equal points are looked up once and each keeps its row."""
+    own = points.columns
+    each = points.groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    j = each.join(ranges, keys).where(F.col(point).between(F.col("start_line"), F.col("end_line")))
     w = Window.partitionBy(*own).orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), "chunk_id")
-    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_n", "_times")
 
 
-def callers(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(export_id, file_id, caller, line): for each resolved export the enclosing callables (a chunk's entity, else
-    its parent's) and the first line; module-level references have no caller and drop out."""
-    parent = chunks.select(F.col("chunk_id").alias("parent_id"), F.col("entity_name").alias("parent_name"))
-    named = chunks.join(parent, "parent_id", "left").select("chunk_id", F.coalesce("entity_name", "parent_name").alias("caller"))
-    j = refs.where("resolved_export_id is not null").join(named, "chunk_id").where("caller is not null")
-    return j.groupBy(F.col("resolved_export_id").alias("export_id"), "file_id", "caller").agg((F.min("line") + 1).alias("line"))
+def in_range(refs: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """References (line from 0) that stand between start_line and end_line (from 1) of each range."""
+    return refs.join(ranges, keys).where(F.col("line").between(F.col("start_line") - 1, F.col("end_line") - 1))
 
 
 def coalesced_ranges(chunks: DataFrame) -> DataFrame:
@@ -76,26 +126,12 @@ def coalesced_ranges(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("file_id", key.alias("entity")).agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count(F.lit(1)).alias("chunks"))
 
 
-def locals_only(chunks: DataFrame, exports: DataFrame) -> DataFrame:
-    """Named entities of a file that it doesn't export."""
-    return chunks.where("entity_name is not null").join(exports.select("file_id", F.col("name").alias("entity_name")), ["file_id", "entity_name"], "left_anti")
-
-
 def callable_candidates(chunks: DataFrame, exports: DataFrame) -> DataFrame:
     """(file_id, name, is_export): exports and locals, an export before a local of its name."""
     both = exports.select("file_id", "name", F.lit(True).alias("is_export")).unionByName(chunks.where("entity_name is not null").select("file_id", F.col("entity_name").alias("name"), F.lit(False).alias("is_export")))
     return both.groupBy("file_id", "name").agg(F.max("is_export").alias("is_export"))
 
 
-def resolve_symbol(candidates: DataFrame, files: DataFrame, name: str, file: str | None = None) -> tuple[str, list]:
-    """(ok | not_found | ambiguous, matches); ``file`` narrows by a path or its end. A bounded listing for the user."""
-    c = candidates.where(F.col("name") == name).join(files, "file_id")
-    if file:
-        c = c.where(tx.suffix_path("path", file))
-    rows = c.orderBy("path").limit(50).collect()
-    return ("ok" if len(rows) == 1 else "ambiguous" if rows else "not_found"), rows
-
-
 # Extensions that a relative specifier may leave out, in order of preference.
 PROBES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py")
 
