@@ -66,16 +66,22 @@ def trace_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.trace(edges(spark, sf_dir), seed(spark, 1), seed(spark, 3)).select("node")
 
 
-@query()
+# the least node at each step: distances from both ends, then a walk along them
+@query(f"""WITH RECURSIVE {EDGES}, f AS (SELECT 1::BIGINT AS node, 0 AS d UNION SELECT dst, d + 1 FROM f JOIN edges ON src = node WHERE d < 8),
+b AS (SELECT 3::BIGINT AS node, 0 AS d UNION SELECT src, d + 1 FROM b JOIN edges ON dst = node WHERE d < 8),
+fd AS (SELECT node, min(d) AS d FROM f GROUP BY 1), bd AS (SELECT node, min(d) AS d FROM b GROUP BY 1), n AS (SELECT d AS n FROM fd WHERE node = 3),
+o AS (SELECT node, fd.d FROM fd JOIN bd USING (node), n WHERE fd.d + bd.d = n),
+w AS (SELECT 0 AS step, 1::BIGINT AS node UNION ALL SELECT step + 1, (SELECT min(dst) FROM edges JOIN o ON o.node = dst WHERE src = w.node AND o.d = step + 1) FROM w, n WHERE step < n)
+SELECT step::INTEGER AS step, node FROM w""")
 def trace_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     return gr.spine(e, gr.trace(e, seed(spark, 1), seed(spark, 3)))
 
 
-@query(f"""WITH {EDGES}, t AS (SELECT src AS node FROM edges WHERE dst = 5 UNION SELECT 5)
-SELECT DISTINCT t.node, CASE WHEN t.node % 6 = 0 THEN 'precise' ELSE 'broad' END AS kind FROM t WHERE t.node % 3 = 0""")
+@query(f"""WITH RECURSIVE {EDGES}, t AS (SELECT 5::BIGINT AS node UNION SELECT src FROM t JOIN edges ON dst = node)
+SELECT p_partkey AS node, CASE WHEN p_partkey % 6 = 0 THEN 'precise' ELSE 'broad' END AS kind FROM part WHERE p_partkey % 3 = 0 AND (p_partkey % 6 = 0 OR p_partkey IN (SELECT node FROM t))""")
 def affected_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = gr.reach(gr.reversed_edges(edges(spark, sf_dir)), seed(spark, 5), 1)
+    near = gr.reach(gr.reversed_edges(edges(spark, sf_dir)), seed(spark, 5))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return gr.tests_reaching(near, parts.where("node % 3 = 0"), parts.where("node % 6 = 0"))
 
@@ -195,7 +201,11 @@ def split_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("file_id", "chunk_index", F.explode(ck.split_by_size("snippet", 120, 20)).alias("piece"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS parts FROM documents),
+m AS (SELECT doc_id, list_reduce(list_transform(parts, lambda x: {'out': []::VARCHAR[], 'buf': x}), lambda a, x: CASE WHEN length(a.buf) + length(x.buf) < 100 THEN {'out': a.out, 'buf': a.buf || chr(10) || chr(10) || x.buf}
+  ELSE {'out': list_append(a.out, a.buf), 'buf': x.buf} END) AS r FROM p WHERE len(parts) > 0),
+l AS (SELECT doc_id, list_append(r.out, r.buf) AS out FROM m)
+SELECT doc_id, unnest(range(0, len(out)))::INTEGER AS chunk_index, unnest(out) AS snippet FROM l""")
 def merge_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(ck.merge_tiny(F.split("text", "\n"))).alias("chunk_index", "snippet"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import conversations as cv
 from ..operators import history as hs
+from ..operators import memory as mm
 from ..operators import telemetry as tl
+from ..runtime import stored
 from ..sources import store
 from .registry import COMMIT_FILES, COMMITS, FILES, QUERY_LOG, commit_files, commits, files, query, query_log, table
 
@@ -156,11 +158,9 @@ r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (
 q AS (SELECT e.item_id AS query_id, count(*) FILTER (WHERE rank <= 1) / count(*) AS recall, coalesce(1 / min(rank), 0) AS rr FROM e LEFT JOIN r USING (item_id, doc_id) GROUP BY 1)
 SELECT query_id, round(recall, 6) AS recall, round(rr, 6) AS rr FROM q""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the evaluation set is a bounded table of passages; each document looks for all of them
     from pyspark.sql import Window
 
-    b, d = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage"), table(spark, sf_dir, "documents")
-    e = d.join(F.broadcast(b), F.contains("text", "passage")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item"))
+    e = stored(tl.passages_in(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("item")))
     r = e.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("item") * 7919) % 1009, "item")))
     return tl.retrieval_metrics(r, e, 1).select("query_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"))
 
@@ -203,7 +203,7 @@ SELECT path, symbol_name, min(ts) AS created_at, max(ts) AS updated_at, arg_max(
 def annotation_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     e = d.select(F.concat(F.lit("p"), (F.col("doc_id") % 60).cast("string")).alias("path"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string"))).alias("symbol_name"), F.col("n_chars").alias("note"), F.col("lang").alias("author"), F.col("doc_id").alias("at"))
-    return store.annotation_upsert(e)
+    return mm.annotation_upsert(e)
 
 
 @query("""WITH o AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, upper(c_mktsegment) AS v FROM customer WHERE c_custkey % 5 = 0)

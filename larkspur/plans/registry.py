@@ -104,7 +104,7 @@ def bm25_sql(query: str, source: str, key: str, text: str, name: str = "bm") ->
     quoted = ", ".join(f"'{t}'" for t in terms)
     return f"""tok AS (SELECT {key}, regexp_extract_all({FOLD.format(text)}, '[\\p{{L}}\\p{{N}}]+') AS t FROM {source}),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-tf AS (SELECT {key}, term, len(t) AS dl, len(list_filter(t, lambda x: x = term)) AS f FROM tok, (SELECT unnest([{quoted}]) AS term)),
+tf AS (SELECT {key}, term, len(t) AS dl, len(list_filter(t, lambda x: x = term)) AS f FROM tok, (SELECT unnest([{quoted}]) AS term) AS terms),
 df AS (SELECT term, count(*) FILTER (WHERE f > 0) AS d FROM tf GROUP BY term),
 {name} AS (SELECT {key}, round(sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS bm25
   FROM tf JOIN df USING (term), st GROUP BY {key} HAVING sum(f) > 0)"""

@@ -133,7 +133,7 @@ def tail_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT path, round(max(bm25), 6) AS score, count(DISTINCT snippet)::INTEGER AS n_snippets FROM bm JOIN lines USING (chunk_id) GROUP BY path""")
 def dedup_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lines(spark, sf_dir)
-    hits = rt.bm25(c, TERMS, "chunk_id", "snippet").select("chunk_id", F.col("bm25").alias("score")).join(c, "chunk_id")
+    hits = rt.bm25_scores(c, TERMS, "chunk_id", "snippet").select("chunk_id", F.col("bm25").alias("score")).join(c, "chunk_id")
     return rt.by_file(hits).select("path", F.round("score", 6).alias("score"), F.size("snippets").alias("n_snippets"))
 
 
@@ -143,7 +143,7 @@ SELECT chunk_id AS id, file_id AS parent_id, round(bm25, 6) AS score FROM h WHER
 UNION ALL SELECT -file_id - 1 AS id, -1 AS parent_id, round(best, 6) FROM n WHERE k >= 3""")
 def parent_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lines(spark, sf_dir)
-    hits = rt.bm25(c, TERMS, "chunk_id", "snippet").select("chunk_id", F.col("bm25").alias("score")).join(c, "chunk_id")
+    hits = rt.bm25_scores(c, TERMS, "chunk_id", "snippet").select("chunk_id", F.col("bm25").alias("score")).join(c, "chunk_id")
     parent = (-F.col("file_id") - 1).alias("id")
     # children are shown with their file, parents with none
     return rt.promote_parents(hits.select(F.col("chunk_id").alias("id"), (-F.col("file_id") - 1).alias("parent_id"), "score"), files(spark, sf_dir).select(parent), 3).select("id", F.coalesce(-F.col("parent_id") - 1, F.lit(-1)).alias("parent_id"), F.round("score", 6).alias("score"))
@@ -192,12 +192,15 @@ _SPLIT = "list_filter(string_split_regex(regexp_replace(regexp_replace({0}, '([a
 p AS (SELECT page_id, list_transform({_SPLIT.format('tok')}, lambda x: lower(x)) AS parts FROM t WHERE length(tok) <= 80)
 SELECT page_id, coalesce(string_agg(part, ' ' ORDER BY part), '') AS parts FROM (SELECT DISTINCT page_id, unnest(parts) AS part FROM p WHERE len(parts) > 1) GROUP BY 1""")
 def identifier_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", tx.identifier_parts("html").alias("parts")).where(F.size("parts") > 0)
+    # parts are exploded out of an array of one, so that the filter doesn't make them a second time
+    from ..runtime import spread
+
+    p = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.explode(F.array(tx.identifier_parts("html"))).alias("parts")).where(F.size("parts") > 0)
     return p.select("page_id", F.array_join(F.array_sort("parts"), " ").alias("parts"))
 
 
-@query(f"""WITH {FILES} SELECT path, sha256(text) AS hash, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 60000 THEN 'too_large'
-  WHEN length(text) * 1.0 / len(string_split(text, chr(10))) > 1000 THEN 'minified' WHEN path LIKE 'src7/%' THEN 'unknown_extension' ELSE 'indexed' END AS status FROM files""")
+@query(f"""WITH {FILES} SELECT path, sha256(text) AS hash, CASE WHEN length(text) > 60000 THEN 'too_large'
+  WHEN length(text) * 1.0 / len(string_split(text, chr(10))) > 1000 THEN 'minified' WHEN path LIKE 'src7/%' THEN 'unknown_extension' WHEN NOT regexp_matches(text, '\\S') THEN 'empty' ELSE 'indexed' END AS status FROM files""")
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.scan import admission_status
 
@@ -213,14 +216,8 @@ def commit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commits(spark, sf_dir).join(l, "commit_id").select("commit_id", tx.commit_embed_text(F.col("message"), F.col("fs")).alias("text"), tx.diff_summary(F.col("fs"), 3).alias("summary"))
 
 
-@query("""WITH e AS (SELECT label, list(embedding ORDER BY vec_id) AS vs FROM embeddings GROUP BY label),
-u AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i)
+@query("""WITH u AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i)
 SELECT label, i::INTEGER AS i, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM u""")
 def merge_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # element-wise means need no collected vectors: rows of (position, value) combine before the shuffle
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
-    m = e.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label")))
-    return m.select("label", (F.col("k") + 1).alias("i"), F.round(F.col("m") / norm, 6).alias("x"))
+    m = vx.merge_embeddings(table(spark, sf_dir, "embeddings"), "label")
+    return m.select("label", F.posexplode("embedding").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import shared_dir, ship
 from ..streaming import tail
 from .registry import QUERY_LOG, query, query_log, table
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="larkspur-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/larkspur/stream-{uuid.uuid4().hex}"
 
 
 @query("""WITH ev AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ti FROM conversations)
@@ -24,8 +22,10 @@ def streamed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     at = _scratch(spark)
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", "text")
-    c.repartition(4, "session_id").sortWithinPartitions("session_id", "seq").write.json(f"{at}/in")
-    turns = tail.stream_turns(tail.read_entries(spark, f"{at}/in", maxFilesPerTrigger=2))
+    # a session's later entries come in later files, so that a batch goes on with turns that one before it sent
+    for k, part in enumerate((c.where("seq < 3"), c.where("seq >= 3"))):
+        part.coalesce(1).write.json(f"{at}/in/part={k}")
+    turns = tail.stream_turns(tail.read_entries(spark, f"{at}/in/part=*", maxFilesPerTrigger=1))
     q = turns.writeStream.outputMode("update").foreachBatch(tail.replacing_sink(f"{at}/out", ["session_id", "turn_index"])).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     from ..sources.store import SnapshotStore
