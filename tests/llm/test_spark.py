@@ -315,10 +315,11 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97 and np.mean([r.rejected for r in got]) < 0.02
 
 
-def test_hmm(docs, none):
+@pytest.mark.parametrize("own", [5, 1000])
+def test_hmm(docs, none, own):
     train = F.col("doc_id") % 3 != 0
-    fitted = hmm.fit_hmm(docs, train, states=3, passes=2, rise=0)
-    got = hmm.scored(fitted.codes, fitted.model, fitted.classes).collect()
+    fitted = hmm.fit_hmm(docs, train, states=3, passes=2, rise=0, own_classes=own)
+    got = hmm.scored(fitted).collect()
     tok = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "<end> of"]) for i, t in ROWS]
     c = Counter(w for i, t in tok if i is not None and i % 3 for w in t)
     n, v = sum(c.values()), len(c)
@@ -330,47 +331,70 @@ def test_hmm(docs, none):
     assert all(r.score == 0 == r.base_score for r in hmm.hmm_scores(docs, F.lit(False), passes=1).collect())
 
 
-def plain_class(word, fitted, counts):
-    """A word's class and its share of the class, from the word itself."""
-    k = fitted.classes
+def plain_emission(word, fitted, counts, table):
+    """A word's probability in each state, from the word itself."""
+    k, m = fitted.classes, fitted.model
     if not counts[word]:
-        return k.n - 1, 1.0
-    raw = np.frombuffer(word.encode(), np.uint8)
-    h, suffix = (hmm.END, hmm.SUFFIX_CLASSES) if word == "<end> of" else (textkernel.hash_spans(raw, np.array([0]), np.array([len(raw)]), lower=True)[0], 0)
-    if word != "<end> of":
-        for b in reversed(raw.tolist()[-4:]):
-            suffix = (suffix * 16777619) % 2**32 ^ b
-        for _ in range(4 - min(4, len(raw))):
-            suffix = (suffix * 16777619) % 2**32
-        suffix = (suffix ^ (suffix >> 15)) % hmm.SUFFIX_CLASSES
+        return m.emit[-1]
+    h, suffix = hashed(word)
     own = np.flatnonzero(k.frequent.words == h)
-    cls = int(own[0]) if len(own) else len(k.frequent.words) + suffix
-    return cls, counts[word] / k.total[cls]
+    if len(own):
+        return m.emit[own[0]]
+    row = table[h]
+    assert (row.suffix, row.c) == (suffix, counts[word])
+    of_class = [r for r in table.values() if r.suffix == suffix]
+    share = [row.c * (row.a0 >> 8 * j & 255) / sum(r.c * (r.a0 >> 8 * j & 255) for r in of_class) for j in range(len(m.start))]
+    return m.emit[len(k.frequent.words) + suffix] * share
+
+
+def hashed(word):
+    """A word's hash and suffix class."""
+    if word == "<end> of":
+        return int(hmm.END), hmm.SUFFIX_CLASSES
+    raw, suffix = np.frombuffer(word.encode(), np.uint8), 0
+    for b in reversed(raw.tolist()[-4:]):
+        suffix = (suffix * 16777619) % 2**32 ^ b
+    for _ in range(4 - min(4, len(raw))):
+        suffix = (suffix * 16777619) % 2**32
+    return int(textkernel.hash_spans(raw, np.array([0]), np.array([len(raw)]), lower=True)[0]), (suffix ^ (suffix >> 15)) % hmm.SUFFIX_CLASSES
 
 
 def plain_score(words, fitted, counts):
     """log10 of the likelihood by the forward recursion, one token and state after the other."""
     m, total, alpha = fitted.model, 0.0, None
+    table = {r.word % 2**64: r for r in fitted.states.collect()}
     for w in words:
-        cls, share = plain_class(w, fitted, counts)
+        emit = plain_emission(w, fitted, counts, table)
         before = list(m.start) if alpha is None else [sum(a * m.move[i][j] for i, a in enumerate(alpha)) for j in range(len(m.start))]
-        alpha = [p * m.emit[cls][j] * share for j, p in enumerate(before)]
+        alpha = [p * emit[j] for j, p in enumerate(before)]
         scale = sum(alpha)
         total += math.log10(scale)
         alpha = [a / scale for a in alpha]
     return total
 
 
-def test_words_share_classes_beyond_the_frequent(spark):
-    texts = [" ".join(f"w{'abcdefghij'[k % 10]}{k}ing" for k in range(j, j + 30) for _ in range(1 + k % 3)) for j in range(0, 200, 10)]
+def test_every_word_has_states_of_its_own(spark):
+    # two vocabularies that never mix, the second written with the first's endings: classes can't tell them apart
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{'ab'[i % 2]}{k}ing" for k in rng.integers(0, 60, 200)) for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     counts = Counter(w for t in texts for w in [*t.split(), "<end> of"])
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    blocks = hmm.coded(rows.withColumn("train", F.lit(True)))
-    totals = hmm.vocabulary_rows(blocks).groupBy("word").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("c"))
-    few = hmm.fit_classes(totals, own_classes=20)
-    assert 0 < len(few.frequent.words) <= 20 and few.frequent.counts.min() >= sorted(counts.values())[-21] and few.tokens == sum(counts.values()) == few.total.sum() and few.types == len(counts)
-    rest = hmm.other_words(blocks, few.frequent).select("word").distinct().count()
-    assert rest == len(counts) - len(few.frequent.words)
+    f = hmm.fit_hmm(rows, F.lit(True), states=2, own_classes=20)
+    k, m = f.classes, f.model
+    assert len(k.frequent.words) == 20 and k.frequent.counts.min() >= sorted(counts.values())[-21] and k.tokens == sum(counts.values()) == k.total.sum() and f.types == len(counts)
+    table = {r.word % 2**64: r for r in f.states.collect()}
+    assert len(table) == len(counts) - 20
+    # all words' probabilities and the unseen outcome's add up to 1 in each state
+    each = {w: plain_emission(w, f, counts, table) for w in counts}
+    assert np.sum(list(each.values()), 0) + m.emit[-1] == pytest.approx(np.ones(2))
+    side = {v: {int(e.argmax()) for w, e in each.items() if w[0] == v and hashed(w)[0] in table} for v in "ab"}
+    assert len(side["a"]) == len(side["b"]) == 1 and side["a"] != side["b"]
+
+
+def test_states_fit_in_longs():
+    p = np.random.default_rng(4).dirichlet(np.ones(11), 50)
+    longs = hmm.byte_rows(p)
+    assert len(longs) == 2 and np.abs(hmm.row_bytes(longs, 11) / 255 - p).max() <= 0.5 / 255 + 1e-12
 
 
 def test_chat(spark):
