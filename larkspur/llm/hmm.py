@@ -344,7 +344,8 @@ def baum_welch_pass(blocks: DataFrame, model: Model, classes: Classes) -> tuple[
                 emit += z
         if any_:
             seen = np.flatnonzero(emit.any(1))
-            rows = np.concatenate([np.full((1, s), total), start[None], move, emit[seen]])
+            # single precision halves what is shuffled; the sums are double
+            rows = np.concatenate([np.full((1, s), total), start[None], move, emit[seen].astype(np.float32)])
             key = np.concatenate([[-1], [-2], -3 - np.arange(s), seen])
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(s))], names=schema.names)
 
@@ -431,6 +432,17 @@ SCORES = T.StructType([
 ])
 
 
+def placed(blocks: DataFrame, frequent: Frequent) -> DataFrame:
+    """Blocks without hashes: ``place`` has 1 and the number of each frequent word, 0 for the others."""
+
+    def run(batches):
+        for b in batches:
+            place = [pack(frequent.place(np.frombuffer(w, "<u8")) + 1, 4) for w in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(place, pa.binary())], names=["block", "doc_id", "length", "tokens", "place"])
+
+    return blocks.select("block", "doc_id", "length", "tokens", "words").mapInArrow(run, "block long, doc_id array<long>, length binary, tokens binary, place binary")
+
+
 def scored(f: Fitted) -> DataFrame:
     """Scores of all documents of the blocks."""
     classes, model, norm, types, s = f.classes, f.model, f.norm, f.types, len(f.model.start)
@@ -440,15 +452,15 @@ def scored(f: Fitted) -> DataFrame:
         if not left.num_rows:
             return pa.Table.from_batches([], _arrow(SCORES))
         get = lambda c: left[c][0].as_py()
-        word, suffix, lengths, tokens = np.frombuffer(get("words"), "<u8"), np.frombuffer(get("suffix"), "<u2"), unpack(get("length"), 4), unpack(get("tokens"), 4)
-        place = classes.frequent.place(word)
+        lengths, tokens, place = (unpack(get(c), 4) for c in ("length", "tokens", "place"))
+        place -= 1
         count = np.where(place >= 0, np.append(classes.frequent.counts, 0)[place], 0)
         emit = np.where((place >= 0)[:, None], model.emit[place], model.emit[-1])
         for data in right["data"].to_pylist():
-            at, c, *rest = unpack(data, 8).reshape(2 + len(longs), -1)
-            at = np.cumsum(at)
+            at, m, *rest = unpack(data, 8).reshape(2 + len(longs), -1)
+            at, c, suffix = np.cumsum(at), m >> 12, m & 4095
             count[at] = c
-            emit[at] = model.emit[own + suffix[at]] * (c[:, None] * row_bytes(rest, s) / norm[suffix[at]])
+            emit[at] = model.emit[own + suffix] * (c[:, None] * row_bytes(rest, s) / norm[suffix])
         owner, first = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
         base = np.log10((count + 0.1) / (classes.tokens + 0.1 * (types + 1)))
         score = np.zeros(len(lengths))
@@ -464,8 +476,9 @@ def scored(f: Fitted) -> DataFrame:
             names=SCORES.names,
         )
 
-    looked_up = packed_rows(other_words(f.blocks, classes.frequent).join(f.states.select("word", "c", *longs), "word"), ["c", *longs])
-    return f.blocks.select("block", "doc_id", "length", "tokens", "words", "suffix").groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(one, SCORES)
+    rows = f.states.select("word", F.shiftleft("c", 12).bitwiseOR(F.col("suffix")).alias("m"), *longs)
+    looked_up = packed_rows(other_words(f.blocks, classes.frequent).join(rows, "word"), ["m", *longs])
+    return placed(f.blocks, classes.frequent).groupBy("block").cogroup(looked_up.groupBy("block")).applyInArrow(one, SCORES)
 
 
 def _sample(blocks: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
