@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as ck
 from ..operators import graph as gr
 from ..operators import symbols as sy
+from ..runtime import dealt
 from ..sources import store
 from .registry import EDGES, LINES, edges, lines, query, table
 
@@ -132,7 +133,8 @@ mb AS (SELECT ref_id, min(id) AS r3 FROM rf JOIN sp USING (file_id, line) JOIN b
 SELECT ref_id, name, line, coalesce(r1, r2, r3, -1) AS export_id, count(*) AS n FROM rf LEFT JOIN own USING (file_id, name) LEFT JOIN bd USING (file_id, name) LEFT JOIN mb USING (ref_id) GROUP BY ALL""")
 def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex, rf, im = _symbols(spark, sf_dir)
-    return sy.resolve_references(rf, ex, im).groupBy("ref_id", "name", "line", F.coalesce("resolved_export_id", F.lit(-1)).alias("export_id")).agg(F.count(F.lit(1)).alias("n"))
+    out = dealt(sy.resolve_references(rf, ex, im), table(spark, sf_dir, "lineitem").count(), "ref_id")
+    return out.groupBy("ref_id", "name", "line", F.coalesce("resolved_export_id", F.lit(-1)).alias("export_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EXPORTS}, f AS (SELECT DISTINCT file_id, type || '/' || file_id || '.ts' AS path FROM ex)
