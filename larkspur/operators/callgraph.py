@@ -137,7 +137,7 @@ def impact(edges: DataFrame, root: str, ambient: DataFrame, depth: int = 3, budg
     and no fewer than shown), capped (there are more than ``cap``, counted up to there), truncated. The tree is a
     display of bounded size and is put together on the driver, a level at a time; the count is a walk by joins
     that ends once the cap is passed."""
-    spark, edges = edges.sparkSession, stored(edges.select("src", "dst"))
+    spark, edges = edges.sparkSession, stored(edges)
     tree: list[tuple] = []
     visited, shown, spent, truncated = {root}, set(), 0, False
     level = [root]
@@ -176,7 +176,7 @@ def trace(edges: DataFrame, start: str, end: str, frontier: int = 8) -> dict:
     """How ``start`` comes to ``end``: found, nodes (DataFrame: node, from_start, to_end of all nodes on some path), spine
     (one shortest path), size; without a path ahead (the deepest nodes reached) and back (direct callers of
     ``end``), ``frontier`` at most of each. Both walks are without a limit, so no path is overlooked."""
-    spark, edges = edges.sparkSession, stored(edges.select("src", "dst"))
+    spark, edges = edges.sparkSession, stored(edges)
     seed = lambda n: spark.createDataFrame([(n,)], "node string")
     if start == end:
         return {"found": True, "nodes": seed(start).select("node", F.lit(0).alias("from_start"), F.lit(0).alias("to_end")), "spine": [start], "size": 1, "ahead": [], "back": []}

@@ -19,7 +19,15 @@ MERGE = 16
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, source: str = "src", target: str = "dst", most: int | None = None) -> DataFrame:
     """(node, depth) of everything reachable from ``seeds`` (node) along source -> target, seeds included at 0.
     With ``most`` the walk ends once it has seen more nodes than that besides the seeds."""
-    e = stored(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("node is not null and next is not null and node <> next").distinct())
+    return _walk(stored(_steps(edges, source, target)), seeds, max_hops, most)
+
+
+def _steps(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    return edges.select(F.col(source).alias("node"), F.col(target).alias("next")).where("node is not null and next is not null and node <> next")
+
+
+def _walk(e: DataFrame, seeds: DataFrame, max_hops: int | None = None, most: int | None = None) -> DataFrame:
+    """``reach`` over stored steps (node, next). Steps may repeat: what they lead to is made distinct at each hop."""
     front = stored(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     seen, parts, hop, met = front, 1, 0, 0
     while max_hops is None or hop < max_hops:
@@ -43,9 +51,10 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def subgraph(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Edges among the nodes within ``hops`` of ``seeds``, whichever way edges point."""
-    both = edges.select("src", "dst").unionByName(reversed_edges(edges))
-    near = reach(both, seeds, hops).select("node")
-    return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    e = stored(edges)
+    near = stored(_walk(_steps(e).unionByName(_steps(e, "dst", "src")), seeds, hops).select("node"))
+    src, dst = (sent_if_small(near.withColumnRenamed("node", c)) for c in ("src", "dst"))
+    return e.join(src, "src", "left_semi").join(dst, "dst", "left_semi").select("src", "dst")
 
 
 def fan(edges: DataFrame) -> DataFrame:
@@ -61,34 +70,35 @@ def impact(edges: DataFrame, target: DataFrame, depth: int = 3, ambient: int = 2
     shown: node, parent, depth of a walk against the edges from ``target`` (node), ``depth`` hops, self-calls
     left out; a node with more than ``ambient`` callers is cited (ambient) and not gone beyond. total: one row,
     callers: all direct and indirect callers, the target not counted."""
-    edges = stored(edges.select("src", "dst").distinct())
+    edges = stored(edges)
     calls = edges.where("src <> dst").select(F.col("dst").alias("node"), F.col("src").alias("caller"))
-    wide = calls.groupBy("node").agg((F.count(F.lit(1)) > ambient).alias("ambient"))
+    wide = lambda nodes: calls.join(sent_if_small(nodes.select("node")), "node", "left_semi").distinct().groupBy("node").agg((F.count(F.lit(1)) > ambient).alias("ambient"))
     rows = stored(target.select("node", F.lit(None).cast(target.schema["node"].dataType).alias("parent"), F.lit(0).alias("depth")))
     front = rows
     for hop in range(1, depth + 1):
-        open_ = front.join(wide.where("ambient"), "node", "left_anti") if hop > 1 else front
+        open_ = front.join(wide(front).where("ambient"), "node", "left_anti") if hop > 1 else front
         new = calls.join(open_.select("node"), "node").select(F.col("caller").alias("n"), F.col("node").alias("parent"))
         new = new.groupBy("n").agg(F.min("parent").alias("parent")).withColumnRenamed("n", "node").join(rows.select("node"), "node", "left_anti")
         front = stored(new.withColumn("depth", F.lit(hop)))
         if front.isEmpty():
             break
         rows = rows.unionByName(front)
-    total = reach(reversed_edges(edges.where("src <> dst")), target).agg((F.count(F.lit(1)) - 1).alias("callers"))
-    return rows.join(wide, "node", "left").withColumn("ambient", F.coalesce("ambient", F.lit(False))), total
+    total = _walk(_steps(edges, "dst", "src"), target).agg((F.count(F.lit(1)) - 1).alias("callers"))
+    return rows.join(wide(rows), "node", "left").withColumn("ambient", F.coalesce("ambient", F.lit(False))), total
 
 
 def trace(edges: DataFrame, start: DataFrame, end: DataFrame) -> DataFrame:
     """(node, from_start, to_end): nodes on some path from ``start`` to ``end``, with their distances. Nodes whose
     distances add up to the least are on a shortest path."""
-    edges = stored(edges.select("src", "dst").distinct())
-    ahead = reach(edges, start).withColumnRenamed("depth", "from_start")
-    back = reach(reversed_edges(edges), end).withColumnRenamed("depth", "to_end")
+    e = stored(edges)
+    ahead = _walk(_steps(e), start).withColumnRenamed("depth", "from_start")
+    back = _walk(_steps(e, "dst", "src"), end).withColumnRenamed("depth", "to_end")
     return ahead.join(back, "node")
 
 
 def spine(edges: DataFrame, traced: DataFrame) -> DataFrame:
     """(step, node): one shortest path, at each step the least node that follows the one before."""
+    edges, traced = stored(edges), stored(traced)
     best = traced.agg(F.min(F.col("from_start") + F.col("to_end")).alias("n"))
     on = stored(traced.join(F.broadcast(best), F.col("from_start") + F.col("to_end") == F.col("n")).select("node", "from_start", "n"))
     row = on.agg(F.max("n").alias("n")).first()

@@ -1,6 +1,11 @@
 """What queries do on inputs where repeated rows meet: the rows their steps make grow no faster than the input."""
 
+from pyspark.sql import functions as F
+
+from larkspur import runtime
+from larkspur.operators import graph as gr
 from larkspur.operators import symbols as sy
+from larkspur.plans import registry
 
 
 def rows_made(spark, make, node="Join"):
@@ -38,3 +43,22 @@ def test_references_in_ranges_are_counted_without_pairs(spark):
     got, most = rows_made(spark, lambda: sy.count_in_range(refs, ranges, ["file_id"]))
     want = {r.chunk_id: r["count"] for r in sy.in_range(refs, ranges, ["file_id"]).groupBy("chunk_id").count().collect()}
     assert {r["chunk_id"]: r["refs"] for r in got} == want and most <= 3100
+
+
+def test_edges_are_dealt_out_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "TASK_ROWS", 500)
+    rows = spark.range(6000).selectExpr("id DIV 4 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id % 997 AS l_partkey", "id % 7 AS l_suppkey")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    e = registry.edges(spark, str(tmp_path))
+    sizes = e.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(sizes) == e.count() == rows.join(rows.select((rows.l_orderkey).alias("o"), (rows.l_linenumber - 1).alias("n"), (rows.l_partkey).alias("dst")), F.expr("o = l_orderkey AND n = l_linenumber")).select("l_partkey", "dst").distinct().count()
+    assert max(sizes) < 800
+
+
+def test_a_spine_makes_its_edges_once(spark):
+    made, n = spark.sparkContext.accumulator(0), 12
+    e = spark.createDataFrame(spark.sparkContext.parallelize([(k, k + 1) for k in range(n)]).map(lambda x: (made.add(1), x)[1]), "src long, dst long")
+    seed = lambda k: spark.createDataFrame([(k,)], "node long")
+    found = gr.spine(e, gr.trace(e, seed(0), seed(5)))
+    assert [r.node for r in found.orderBy("step").collect()] == [0, 1, 2, 3, 4, 5]
+    assert made.value <= 2 * n
