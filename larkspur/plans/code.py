@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking as ck
 from ..operators import graph as gr
 from ..operators import symbols as sy
-from ..runtime import dealt
+from ..runtime import dealt, stored
 from ..sources import store
 from .registry import EDGES, LINES, edges, lines, query, table
 
@@ -75,7 +75,7 @@ o AS (SELECT node, fd.d FROM fd JOIN bd USING (node), n WHERE fd.d + bd.d = n),
 w AS (SELECT 0 AS step, 1::BIGINT AS node UNION ALL SELECT step + 1, (SELECT min(dst) FROM edges JOIN o ON o.node = dst WHERE src = w.node AND o.d = step + 1) FROM w, n WHERE step < n)
 SELECT step::INTEGER AS step, node FROM w""")
 def trace_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
+    e = stored(edges(spark, sf_dir))
     return gr.spine(e, gr.trace(e, seed(spark, 1), seed(spark, 3)))
 
 
