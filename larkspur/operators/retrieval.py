@@ -122,6 +122,29 @@ def bm25(docs: DataFrame, query: str, key: str = "id", text: str = "text", k: in
     return top(bm25_scores(docs, query, key, text, parts), k, key)
 
 
+def _postings(batches, names: list[str], gap: int):
+    """(key, dl, term, positions) of each document and term, in that order, from batches of (key, tokens); without ""."""
+    for whole in batches:
+        start = 0
+        while start < whole.num_rows:
+            # as many rows as have some 500,000 tokens together, one at least
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(whole.column(1).slice(start)), 0), np.int64)
+            rows = max(1, int(np.searchsorted(sizes.cumsum(), 500_000, "right")))
+            b, sizes, start = whole.slice(start, rows), sizes[:rows], start + rows
+            doc = np.repeat(np.arange(b.num_rows), sizes)
+            pos = np.arange(len(doc)) - np.repeat(sizes.cumsum() - sizes, sizes)
+            coded = pc.dictionary_encode(pc.list_flatten(b.column(1)))
+            code = np.asarray(coded.indices, np.int64)
+            held = np.flatnonzero(np.asarray(pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False), bool)[code]) if len(code) else np.arange(0)
+            # a stable order by document and term keeps positions in order
+            order = held[np.lexsort((code[held], doc[held]))]
+            doc, code, pos = doc[order], code[order], pos[order]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]) if len(doc) else np.arange(0)
+            ends = pa.array(np.r_[first, len(doc)].astype(np.int32))
+            at = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array((sizes - gap)[doc[first]].astype(np.int32)), coded.dictionary.take(pa.array(code[first])), pa.ListArray.from_arrays(ends, pa.array(pos.astype(np.int32)))], names=names)
+
+
 class TextIndex:
     """Postings in a snapshot store: (term, key, positions, dl), in folders by the term's hash, so that a search reads
     the folders of its terms only, and of these the row groups that hold them."""
@@ -136,12 +159,13 @@ class TextIndex:
         return F.pmod(F.xxhash64("term"), F.lit(cls.BUCKETS)).cast("int")
 
     def build(self, docs: DataFrame, text: str = "text", parts: bool = False) -> TextIndex:
-        """Indexes all of ``docs``. A word that all documents have is spread over tasks by document."""
-        key = self.key
-        tokens = spread(docs.select(key, text)).select(key, F.explode(F.array(index_tokens(text, parts))).alias("tokens"))
-        sized = tokens.select(key, (F.size("tokens") - int(parts)).alias("dl"), F.posexplode_outer("tokens").alias("pos", "term"))
-        rows = sized.groupBy(key, "dl", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).where("term is null or term <> ''")
-        self.store.commit_buckets(self.name, rows.where("term is not null").sortWithinPartitions("term"), self._bucket(), list(range(self.BUCKETS)))
+        """Indexes all of ``docs``. Postings are made where the text is read, so that no word's occurrences are shuffled and
+        a word that all documents have stays spread over tasks."""
+        key, gap = self.key, int(parts)
+        ship(docs.sparkSession)
+        tokens = spread(docs.select(key, text)).select(key, index_tokens(text, parts).alias("tokens"))
+        schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("dl", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        self.store.commit_buckets(self.name, tokens.mapInArrow(lambda batches: _postings(batches, schema.names, gap), schema), self._bucket(), list(range(self.BUCKETS)), "term")
         lengths = docs.select(key, F.explode(F.array(F.size(index_tokens(text, parts)) - int(parts))).alias("dl"))
         self.store.commit(**{f"{self.name}_totals": lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))})
         return self

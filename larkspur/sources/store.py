@@ -78,11 +78,12 @@ class SnapshotStore:
             df.write.parquet(f"{self.root}/{new[name]['']}")
         self._publish(base, new)
 
-    def commit_buckets(self, name: str, rows: DataFrame, bucket: Column, buckets: list[int]) -> None:
-        """Replaces ``buckets`` of a table by ``rows``, whose bucket number is ``bucket``; others stay as they are."""
+    def commit_buckets(self, name: str, rows: DataFrame, bucket: Column, buckets: list[int], *order: str) -> None:
+        """Replaces ``buckets`` of a table by ``rows``, whose bucket number is ``bucket``; others stay as they are. Each
+        file's rows are in ``order``."""
         self._writable()
         base, folder = self.manifest(), f"{name}/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        rows.withColumn("_bucket", bucket).sortWithinPartitions("_bucket", *order).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         p, fs = self._fs(f"{self.root}/{folder}")
         there = {s.getPath().getName() for s in fs.listStatus(p)}
         held = {k: v for k, v in base["tables"].get(name, {}).items() if k not in {str(b) for b in buckets}}

@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from larkspur import runtime
 from larkspur.operators import graph as gr
+from larkspur.operators import retrieval as rt
 from larkspur.operators import symbols as sy
 from larkspur.plans import registry
+from larkspur.sources.store import SnapshotStore
 
 
-def rows_made(spark, make, node="Join"):
+def rows_made(spark, make, node="Join", name="number of output rows"):
     """(rows of a DataFrame that ``make`` returns, most rows that an operator of that name made on the way)."""
     store = spark._jsparkSession.sharedState().statusStore()
     before, found = store.executionsCount(), [r.asDict() for r in make().collect()]
@@ -21,7 +23,7 @@ def rows_made(spark, make, node="Join"):
             n = nodes.apply(k)
             for m in range(n.metrics().size() if node in n.name() else 0):
                 metric = n.metrics().apply(m)
-                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                if metric.name() == name and values.contains(metric.accumulatorId()):
                     most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
     return found, most
 
@@ -62,3 +64,12 @@ def test_a_spine_makes_its_edges_once(spark):
     found = gr.spine(e, gr.trace(e, seed(0), seed(5)))
     assert [r.node for r in found.orderBy("step").collect()] == [0, 1, 2, 3, 4, 5]
     assert made.value <= 2 * n
+
+
+def test_an_index_shuffles_no_occurrences_of_words(spark, tmp_path):
+    docs = spark.range(60).selectExpr("id", "IF(id % 9 = 0, NULL, array_join(transform(sequence(1, 100), x -> concat('w', (x * id) % 13)), ' ')) AS text")
+    store = SnapshotStore(spark, str(tmp_path))
+    got, most = rows_made(spark, lambda: rt.TextIndex(store, "p", "id").build(docs).store.read("p"), "Exchange", "shuffle records written")
+    want = docs.select("id", F.posexplode(F.split("text", " ")).alias("pos", "term")).groupBy("id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).collect()
+    assert sorted((r["id"], r["term"], r["positions"]) for r in got) == sorted((r.id, r.term, r.positions) for r in want)
+    assert {r["dl"] for r in got} == {100} and most <= 60
