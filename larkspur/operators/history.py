@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..runtime import dealt, sent_if_small
 
 
 def file_history(commits: DataFrame, commit_files: DataFrame, path: str, since: str | None = None, k: int = 20) -> DataFrame:
@@ -51,9 +52,22 @@ def search_commits(commits: DataFrame, queries: DataFrame, query: str, k: int =
     return top(kept.select("commit_id", F.round("score", 12).alias("score")), k, "commit_id", "score")
 
 
-def newest_per_file(commits: DataFrame, commit_files: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("file_path").orderBy(F.desc("date"), "commit_id")
-    return commit_files.join(commits, "commit_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+#: Parts that the commits of a file are ranked in before they are ranked together.
+PARTS = 64
+
+
+def newest_per_file(commits: DataFrame, commit_files: DataFrame, k: int, rows: int | None = None) -> DataFrame:
+    """The k newest commits of each file with their rank. ``rows``: about how many files all commits have, by which they
+    are dealt out, at first by file and part, so that a file which most commits touch doesn't come to one task."""
+    order = (F.desc("date"), "commit_id")
+    j = commit_files.join(commits, "commit_id")
+    if rows is not None:
+        part = j.withColumn("_part", F.pmod(F.xxhash64("commit_id"), F.lit(PARTS)))
+        w = Window.partitionBy("file_path", "_part").orderBy(*order)
+        first = dealt(part, rows, "file_path", "_part").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        j = dealt(first.drop("_part", "rank"), rows, "file_path")
+    w = Window.partitionBy("file_path").orderBy(*order)
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def co_change(commits: DataFrame, commit_files: DataFrame, path: str, k: int = 15, least: int = 2, max_files: int = 25) -> DataFrame:
@@ -73,12 +87,15 @@ def co_change(commits: DataFrame, commit_files: DataFrame, path: str, k: int = 1
     return j.orderBy(F.desc("jaccard"), F.desc("together"), "file_path").limit(k).drop("target")
 
 
-def freshness(notes: DataFrame, changes: DataFrame, known: DataFrame) -> DataFrame:
+def freshness(notes: DataFrame, changes: DataFrame, known: DataFrame, rows: int | None = None) -> DataFrame:
     """``notes`` (id, commit_hash, files_involved) with verdict: null without a commit, diverged if the commit isn't
-    ``known`` (sha), stale with stale_files if a file involved changed since (``changes``: sha, path), or current."""
-    f = notes.where("commit_hash is not null").select("id", "commit_hash", F.explode("files_involved").alias("path")).distinct()
-    hit = f.join(changes.withColumnRenamed("sha", "commit_hash").distinct(), ["commit_hash", "path"], "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("stale_files"))
-    out = notes.join(hit, "id", "left").join(known.select(F.col("sha").alias("commit_hash"), F.lit(True).alias("_known")).distinct(), "commit_hash", "left")
+    ``known`` (sha), stale with stale_files if a file involved changed since (``changes``: sha, path), or current.
+    ``rows``: about how many files all notes involve, by which they are dealt out."""
+    # a note's files meet the changes and come together again once; nothing is made distinct before
+    f = notes.where("commit_hash is not null").select("id", "commit_hash", F.explode("files_involved").alias("path"))
+    f = f if rows is None else dealt(f, rows, "commit_hash", "path")
+    hit = f.join(changes.withColumnRenamed("sha", "commit_hash"), ["commit_hash", "path"], "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("stale_files"))
+    out = notes.join(hit, "id", "left").join(sent_if_small(known.select(F.col("sha").alias("commit_hash"), F.lit(True).alias("_known")).distinct()), "commit_hash", "left")
     verdict = F.when(F.col("commit_hash").isNull(), F.lit(None)).when(F.col("_known").isNull(), "diverged").when(F.col("stale_files").isNotNull(), "stale").otherwise("current")
     return out.withColumn("verdict", verdict).drop("_known")
 

@@ -9,7 +9,7 @@ from ..operators import conversations as cv
 from ..operators import history as hs
 from ..operators import memory as mm
 from ..operators import telemetry as tl
-from ..runtime import stored
+from ..runtime import dealt, stored
 from ..sources import store
 from .registry import COMMIT_FILES, COMMITS, FILES, QUERY_LOG, commit_files, commits, files, query, query_log, table
 
@@ -31,7 +31,7 @@ def co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {HIST} SELECT file_path, commit_id, date, row_number() OVER (PARTITION BY file_path ORDER BY date DESC, commit_id)::INTEGER AS rank
 FROM commit_files JOIN commits USING (commit_id) QUALIFY rank <= 3""")
 def newest_commits_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hs.newest_per_file(commits(spark, sf_dir), commit_files(spark, sf_dir), 3).select("file_path", "commit_id", "date", "rank")
+    return hs.newest_per_file(commits(spark, sf_dir), commit_files(spark, sf_dir), 3, table(spark, sf_dir, "lineitem").count()).select("file_path", "commit_id", "date", "rank")
 
 
 @query(f"""WITH {HIST} SELECT commit_id, date, author, insertions FROM commits JOIN commit_files USING (commit_id) WHERE file_path LIKE '%/part\\_2.c' ESCAPE '\\' AND date >= '1995'
@@ -60,11 +60,14 @@ h AS (SELECT id, count(*) AS n FROM n JOIN f USING (id) WHERE (sha, path) IN (SE
 SELECT id, CASE WHEN sha IS NULL THEN NULL WHEN sha NOT IN (SELECT sha FROM k) THEN 'diverged' WHEN h.n > 0 THEN 'stale' ELSE 'current' END AS verdict, coalesce(h.n, 0) AS n_stale FROM n LEFT JOIN h USING (id)""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, l, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    n_lines = l.count()
+    l = dealt(l.select("l_orderkey", "l_partkey", "l_suppkey"), n_lines, "l_orderkey")
     f = l.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("files_involved"))
     n = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_custkey") % 50).cast("string")).alias("commit_hash")).join(f, "id", "left")
-    ch = o.where("o_custkey % 3 = 0").join(l, o.o_orderkey == l.l_orderkey).select((F.col("o_custkey") % 50).cast("string").alias("sha"), F.col("l_suppkey").cast("string").alias("path")).distinct()
+    ch = o.where("o_custkey % 3 = 0").join(l, o.o_orderkey == l.l_orderkey).select((F.col("o_custkey") % 50).cast("string").alias("sha"), F.col("l_suppkey").cast("string").alias("path"))
+    ch = dealt(ch, n_lines, "sha", "path").distinct()
     known = c.where("c_custkey % 50 <> 7").select((F.col("c_custkey") % 50).cast("string").alias("sha")).distinct()
-    return hs.freshness(n, ch, known).select("id", "verdict", F.coalesce(F.size("stale_files"), F.lit(0)).cast("long").alias("n_stale"))
+    return hs.freshness(n, ch, known, n_lines).select("id", "verdict", F.coalesce(F.size("stale_files"), F.lit(0)).cast("long").alias("n_stale"))
 
 
 @query(f"WITH {COMMITS} SELECT commit_id AS hash, date FROM commits WHERE commit_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")

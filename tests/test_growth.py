@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from larkspur import runtime
 from larkspur.operators import graph as gr
+from larkspur.operators import history as hs
 from larkspur.operators import retrieval as rt
 from larkspur.operators import symbols as sy
 from larkspur.plans import registry
@@ -73,3 +74,32 @@ def test_an_index_shuffles_no_occurrences_of_words(spark, tmp_path):
     want = docs.select("id", F.posexplode(F.split("text", " ")).alias("pos", "term")).groupBy("id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")).collect()
     assert sorted((r["id"], r["term"], r["positions"]) for r in got) == sorted((r.id, r.term, r.positions) for r in want)
     assert {r["dl"] for r in got} == {100} and most <= 60
+
+
+def history(spark):
+    c = spark.range(900).selectExpr("id AS commit_id", "concat('2024-01-', lpad(CAST(id % 28 + 1 AS STRING), 2, '0')) AS date")
+    f = c.selectExpr("commit_id", "explode(array('hot', concat('f', commit_id % 50))) AS file_path")
+    return c, f
+
+
+def test_newest_commits_of_a_hot_file_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    c, f = history(spark)
+    plain, dealt = hs.newest_per_file(c, f, 3), hs.newest_per_file(c, f, 3, 1800)
+    cells = lambda d: sorted((r.file_path, r.commit_id, r["rank"]) for r in d.collect())
+    assert cells(dealt) == cells(plain) and len(cells(dealt)) == 153
+    # 900 rows of the hot file come in as at most three of each part
+    _, most = rows_made(spark, lambda: dealt, "Exchange", "shuffle records written")
+    assert dealt.rdd.getNumPartitions() == 18 and most <= 1800
+
+
+def test_notes_meet_changes_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    notes = spark.range(400).selectExpr("id", "IF(id % 11 = 0, NULL, concat('s', id % 5)) AS commit_hash", "transform(sequence(1, 5), x -> concat('p', (x * id) % 17)) AS files_involved")
+    changes = spark.range(17).selectExpr("explode(array('s1', 's2')) AS sha", "concat('p', id) AS path").where("path <> 'p3'")
+    known = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s1",)], "sha string")
+    seen = []
+    monkeypatch.setattr(hs, "dealt", lambda df, rows, *keys: seen.append((rows, keys)) or runtime.dealt(df, rows, *keys))
+    cells = lambda d: sorted((r.id, r.verdict or "", r.stale_files or []) for r in d.collect())
+    assert cells(hs.freshness(notes, changes, known, 2000)) == cells(hs.freshness(notes, changes, known))
+    assert seen == [(2000, ("commit_hash", "path"))]
