@@ -44,6 +44,7 @@ FILES = """files AS (SELECT doc_id AS file_id, source || '/' || lang || '/' || C
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as commits: commit_id, date (ISO text), author, message, is_merge."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    o = dealt(o, o.count(), "o_custkey")
     return o.join(c, o.o_custkey == c.c_custkey).select(
         F.col("o_orderkey").alias("commit_id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("date"),
         F.col("c_name").alias("author"), F.col("o_orderpriority").alias("message"), (F.col("o_orderstatus") == "P").alias("is_merge"),
@@ -56,7 +57,8 @@ COMMITS = """commits AS (SELECT o_orderkey AS commit_id, strftime(o_orderdate, '
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as the files of commits: commit_id, file_path, insertions."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("lib/part_"), F.col("l_partkey").cast("string"), F.lit(".c")).alias("file_path")).agg(F.sum(F.col("l_quantity").cast("long")).alias("insertions"))
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return dealt(l, l.count(), "l_orderkey").groupBy(F.col("l_orderkey").alias("commit_id"), F.concat(F.lit("lib/part_"), F.col("l_partkey").cast("string"), F.lit(".c")).alias("file_path")).agg(F.sum(F.col("l_quantity").cast("long")).alias("insertions"))
 
 
 COMMIT_FILES = """commit_files AS (SELECT l_orderkey AS commit_id, 'lib/part_' || l_partkey || '.c' AS file_path, SUM(l_quantity::BIGINT)::BIGINT AS insertions
